@@ -24,4 +24,16 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_token_store)}
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_token_store, op5_kd_shards, op9_quality_rules)}
