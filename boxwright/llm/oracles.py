@@ -34,4 +34,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN covered USING (rid) LEFT JOIN its USING (rid)
 """
 
-ORACLE_SQL = {"op2_decontamination": OP2}
+# SHA-1 in hex becomes base32 through its bits, five at a time.
+OP8 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(v AS INTEGER), 1), '' ORDER BY g, k) AS digest
+  FROM (
+    SELECT h, g, k, (n >> (5 * (3 - k))) & 31 AS v
+    FROM (SELECT h, g, CAST('0x' || substr(h, 5 * g + 1, 5) AS BIGINT) AS n FROM (SELECT DISTINCT h FROM p), range(8) AS r(g)), range(4) AS s(k)
+  ) GROUP BY h
+), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM p JOIN d USING (h) JOIN f USING (h)
+"""
+
+# Word windows are compared as text; a word is covered by any window that occurs twice in its document.
+# The risk-controlled verdict (an iterated exact binomial test) is spelled out for the grids of the rules.
+_WS = r"[^\x20\x09-\x0D]+"
+
+ORACLE_SQL = {"op2_decontamination": OP2, "op8_warc_captures": OP8}

@@ -36,4 +36,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_token_store, op5_kd_shards, op9_quality_rules)}
+def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch_path
+    from .warc import merge_runs, read_records, write_archives
+
+    folder = scratch_path(spark, "warc")
+    captures = merge_runs(write_archives(table(spark, sf_dir, "pages"), folder), folder)
+    return read_records(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_token_store, op5_kd_shards, op8_warc_captures, op9_quality_rules)}

@@ -267,7 +267,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             for part in slices(batch, 1):
                 if out is None:
                     store.create_dir(root, recursive=True)
-                    sink = store.open_output_stream(f"{root}/.attempt-{shard:06d}-{attempt}")
+                    sink = store.open_output_stream(f"{root}/.attempt-{shard:06d}-{attempt}", compression=None)
                     out = ShardWriter(sink, words.width)
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
                     out.add(key_of(doc_id), ids + end)
