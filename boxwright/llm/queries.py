@@ -36,6 +36,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import scratch_path
     from .warc import merge_runs, read_records, write_archives
@@ -45,4 +53,4 @@ def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_token_store, op5_kd_shards, op8_warc_captures, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_token_store, op5_kd_shards, op6_language, op8_warc_captures, op9_quality_rules)}
