@@ -50,8 +50,27 @@ SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, digest AS payl
 FROM p JOIN d USING (h) JOIN f USING (h)
 """
 
-# Word windows are compared as text; a word is covered by any window that occurs twice in its document.
-# The risk-controlled verdict (an iterated exact binomial test) is spelled out for the grids of the rules.
-_WS = r"[^\x20\x09-\x0D]+"
+# Candidates share a shingle of their rarest quarter (any two linked sets do), so the check stays cheap; then exact.
+OP3 = rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT DISTINCT rid, array_to_string(w[p : p + least(len(w), 5) - 1], ' ') || CASE WHEN len(w) < 5 THEN ' ' ELSE '' END AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)
+), n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+df AS (SELECT g, count(*) AS df FROM g GROUP BY g),
+ranked AS (SELECT rid, g, row_number() OVER (PARTITION BY rid ORDER BY df, g) AS r FROM g JOIN df USING (g)),
+prefix AS (SELECT rid, g FROM ranked JOIN n USING (rid) WHERE r <= n - ceil(0.75 * n) + 1),
+cand AS (SELECT DISTINCT a.rid AS a, b.rid AS b FROM prefix a JOIN prefix b USING (g) WHERE a.rid < b.rid),
+inter AS (SELECT c.a, c.b, count(*) AS i FROM cand c JOIN g x ON x.rid = c.a JOIN g y ON y.rid = c.b AND y.g = x.g GROUP BY c.a, c.b),
+link AS (SELECT a, b FROM inter JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * i >= 75 * (p.n + q.n - i)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(rid, other) AS (SELECT rid, rid FROM w UNION SELECT r.rid, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM reach r JOIN w ON w.rid = r.rid JOIN w o ON o.rid = r.other LEFT JOIN n ON n.rid = w.rid
+GROUP BY w.rid, w.doc_id, n.n
+"""
 
-ORACLE_SQL = {"op2_decontamination": OP2, "op8_warc_captures": OP8}
+ORACLE_SQL = {"op2_decontamination": OP2, "op3_jaccard_join": OP3, "op8_warc_captures": OP8}

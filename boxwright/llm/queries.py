@@ -14,6 +14,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,4 +59,4 @@ def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_token_store, op5_kd_shards, op6_language, op8_warc_captures, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_jaccard_join, op4_token_store, op5_kd_shards, op6_language, op8_warc_captures, op9_quality_rules)}
