@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
@@ -50,6 +56,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudonyms import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), key="check-key")
+
+
 def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import scratch_path
     from .warc import merge_runs, read_records, write_archives
@@ -59,4 +71,4 @@ def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_jaccard_join, op4_token_store, op5_kd_shards, op6_language, op8_warc_captures, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_jaccard_join, op4_token_store, op5_kd_shards, op6_language, op7_pseudonyms, op8_warc_captures, op9_quality_rules)}
