@@ -71,4 +71,10 @@ def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_jaccard_join, op4_token_store, op5_kd_shards, op6_language, op7_pseudonyms, op8_warc_captures, op9_quality_rules)}
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import licences
+
+    return licences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_jaccard_join, op4_token_store, op5_kd_shards, op6_language, op7_pseudonyms, op8_warc_captures, op9_quality_rules, op10_licences)}

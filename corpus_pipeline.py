@@ -1,8 +1,78 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each applying one operator's decisions to all that the stage before kept.
 
-STAGES: list = []
+Every stage but the last returns the columns of its input; ``run`` writes each
+stage's rows to the shared folder and reads them again.  Nothing is swallowed: a
+stage that fails fails the run.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boxwright.llm.common import drop_written, scratch_path, table, written
+
+#: A language that is less sure is rejected, like no language at all.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without an identifiable language."""
+    import public_tokenizers
+
+    from boxwright.llm.langid import held_out, learn, predict
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    langs, probs = learn(docs, vocabulary, usable=~held_out(F.col("doc_id")))
+    found = predict(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c != "text"}), langs, probs, vocabulary)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col("text" if c == "text" else f"`in_{c}`").alias(c) for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near copies."""
+    from boxwright.llm.jaccard import join
+
+    found = join(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    first = docs.join(found, F.col("doc_id") == F.col("__kept")).drop("__kept")
+    return first.dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects contaminated documents."""
+    from boxwright.llm.decontamination import decontaminate
+
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("__hit"), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents to the target weights of sources, languages and topics."""
+    from boxwright.llm.mixing import sample
+
+    return sample(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token shards and reads them back."""
+    import public_tokenizers
+
+    from boxwright.llm.tokenstore import read_shards, write_shards
+
+    manifest = write_shards(docs, scratch_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
+
+#: Segmentation sums, raking and tokenization can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(before)
+        before = docs
+    return docs
