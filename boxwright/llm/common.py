@@ -7,9 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: White space as the word contracts define it: space and the bytes 0x09 to 0x0D.
 SPACE = " \t\n\x0b\f\r"
@@ -81,10 +81,16 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def ascii_lower(col):
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def row_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within it, Arrow batches have so many rows at most: for rows that hold whole sets or texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

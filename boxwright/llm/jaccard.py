@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import drop_written, written
+from .common import arrow_rows, drop_written, written
 from .components import components
 
 WIDTH = 5
@@ -55,16 +55,18 @@ SMALL = 8
 BUCKET_KEYS = 4 << 20
 BLOCK = 4096
 SKETCH = 4096
-FLUSH_KEYS = 3 << 20
+FLUSH_KEYS = 1 << 20
+#: Rows of an Arrow batch, each of which may hold two whole sets.
+BATCH = 500
 #: In the cost model: chance that a shingle of one set is in an unrelated one, and the cost of a candidate in index entries.
-CHANCE, VERIFY = 0.02, 50.0
+CHANCE, VERIFY = 0.002, 50.0
 
 
 def band_edges() -> list[int]:
-    """Lower ends of the size bands: each at most 4/3 of the one before, so partners are in two bands."""
-    edges = [1]
+    """Lower ends of the size bands, each 16/9 of the one before: partners are at most one band apart, and half of all sets need one level only."""
+    edges = [1, 2]
     while edges[-1] < 1 << 31:
-        edges.append(max(edges[-1] + 1, edges[-1] * 4 // 3))
+        edges.append(-(-edges[-1] * 16 // 9))
     return edges
 
 
@@ -149,15 +151,16 @@ def doc_classes(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(keys: np.ndarray, owner: np.ndarray, fps: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Sorted blocks, one a bucket; keys lie there byte plane by byte plane, which packs well."""
-    bucket = (keys >> np.uint64(32)).astype(np.uint64) % np.uint64(buckets)
-    order = np.lexsort((keys, bucket))
-    keys, owner, bucket = keys[order] & np.uint64((1 << 56) - 1), owner[order], bucket[order]
+    """Sorted blocks, one for each range of keys; the first 48 bits of a key lie there byte plane by byte plane, which packs well."""
+    order = np.argsort(keys)
+    keys, owner = keys[order], owner[order]
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    keys >>= np.uint64(16)
     ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1
     a = 0
     for b in ends.tolist():
         who, place = np.unique(owner[a:b], return_inverse=True)
-        planes = np.ascontiguousarray(keys[a:b].view(np.uint8).reshape(-1, 8)[:, :7].T)
+        planes = np.ascontiguousarray(keys[a:b].view(np.uint8).reshape(-1, 8)[:, 5::-1].T)
         yield int(bucket[a]), planes.tobytes(), place.astype("<u2" if len(who) <= 1 << 16 else "<u4").tobytes(), fps[who].tobytes(), sizes[who].tobytes()
         a = b
 
@@ -205,9 +208,9 @@ def _bucket_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Candidates of a bucket: (smaller class, other class, whether from a large group), each once."""
     keys, owner, fps, sizes, base = [], [], [], [], 0
     for planes, place, fp, size in rows:
-        n = len(planes) // 7
+        n = len(planes) // 6
         raw = np.zeros((n, 8), np.uint8)
-        raw[:, :7] = np.frombuffer(planes, np.uint8).reshape(7, n).T
+        raw[:, 5::-1] = np.frombuffer(planes, np.uint8).reshape(6, n).T
         keys.append(raw.view("<u8").reshape(-1))
         f = np.frombuffer(fp, "<i8")
         owner.append(np.frombuffer(place, "<u2" if len(f) <= 1 << 16 else "<u4").astype(np.int64) + base)
@@ -403,6 +406,11 @@ def _across(verdicts: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id."""
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _join(docs)
+
+
+def _join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -33,7 +33,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 22)
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
@@ -108,7 +108,7 @@ def scan(texts: pa.Array, keep: np.ndarray) -> Words:
     return Words(data, start, stop, np.searchsorted(start, offsets), offsets)
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows of about ``most`` bytes of text each (one row at least)."""
     n = batch.num_rows
     if not n:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, written
+from .common import arrow_rows, filesystem, written
 
 MAGIC = b"BWSST\x00\x01\n"
 BLOCK = 64 << 10
@@ -280,7 +280,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             kinds = [pa.int32(), pa.string(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-    return written(placed.mapInArrow(write, MANIFEST), "manifest")
+    with arrow_rows(spark, 2000):
+        return written(placed.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
