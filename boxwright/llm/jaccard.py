@@ -50,14 +50,16 @@ from .common import arrow_rows, drop_written, written
 from .components import components
 
 WIDTH = 5
-#: Classes of a key that are paired directly; keys of a bucket; rows of a comparison block; sketch bits.
+#: Classes of a key that are paired directly; keys of a bucket; rows of a comparison block; least and most sketch bits.
 SMALL = 8
 BUCKET_KEYS = 4 << 20
 BLOCK = 4096
-SKETCH = 4096
+SKETCH = (512, 1 << 16)
 FLUSH_KEYS = 1 << 20
 #: Rows of an Arrow batch, each of which may hold two whole sets.
 BATCH = 500
+#: Bits of the filter that spares texts a shuffle.
+FILTER = 1 << 23
 #: In the cost model: chance that a shingle of one set is in an unrelated one, and the cost of a candidate in index entries.
 CHANCE, VERIFY = 0.002, 50.0
 
@@ -138,16 +140,54 @@ def _doc_sets(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple
                 yield part, list(textscan.shingle_sets(textscan.scan(part.column(text_at), keep), WIDTH))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's shingles over hash bins, two bins or more a shingle: sketches differ in no more bits than sets in shingles."""
+    bits = min(max(SKETCH[0], 1 << (2 * len(s) - 1).bit_length()), SKETCH[1])
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def fold(marks: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) over fewer bins: bins that fall together add their parities."""
+    while marks.shape[-1] > width:
+        half = marks.shape[-1] // 2
+        marks = marks[..., :half] ^ marks[..., half:]
+    return marks
+
+
+def may_link(n: int, mark: np.ndarray, m: int, other: np.ndarray) -> bool:
+    """False only if sets of these sizes and sketches can't link."""
+    if 4 * min(n, m) < 3 * max(n, m):
+        return False
+    width = min(len(mark), len(other))
+    return int(np.bitwise_count(fold(mark, width) ^ fold(other, width)).sum()) <= differs(n, m)
+
+
 def doc_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls) of each row; cls is null for an empty set."""
+    """(doc_id, n_shingles, cls, sketch) of each row; cls and sketch are null for an empty set."""
 
     def scan(batches):
         for part, sets in _doc_sets(batches, 1):
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "cls"]
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "cls", "sketch"],
             )
 
-    return docs.mapInArrow(scan, "doc_id bigint, n_shingles bigint, cls bigint")
+    return docs.mapInArrow(scan, "doc_id bigint, n_shingles bigint, cls bigint, sketch binary")
+
+
+def sift(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs with near: false where sizes or sketches rule a link out."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"m_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "hot", "salt", "n_a", "m_a", "n_b", "m_b")
+
+    def check(batches):
+        for batch in batches:
+            n, m = batch.column(4).to_pylist(), batch.column(6).to_pylist()
+            marks = lambda i, k, batch=batch: np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64)
+            near = [may_link(n[i], marks(i, 5), m[i], marks(i, 7)) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near, pa.bool_())], names=["a", "b", "hot", "salt", "near"])
+
+    return both.mapInArrow(check, "a bigint, b bigint, hot boolean, salt int, near boolean")
 
 
 def _blocks(keys: np.ndarray, owner: np.ndarray, fps: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[tuple]:
@@ -312,10 +352,20 @@ def candidates(blocks: DataFrame, parts: int, classes: int) -> DataFrame:
     return met.repartition(parts, "a", "hot", "salt").sortWithinPartitions("a", "hot", "salt").mapInArrow(union, "a bigint, b bigint, hot boolean, salt int")
 
 
+def _likely(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """docs without most of the rows whose ids aren't wanted: a bitmap of hashed ids, FILTER bits at any scale, spares their shuffle."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    maps = named.select(slot("rep").alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("__m")).agg(F.bitmap_construct_agg((F.col("slot") % 32768).cast("bigint")).alias("__bits"))
+    at = F.col("__s") % 32768
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = docs.withColumn("__s", slot("doc_id")).withColumn("__m", F.floor(F.col("__s") / 32768)).join(F.broadcast(maps), "__m")  # FILTER bits
+    return rows.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*docs.columns)
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, s): the whole sets of wanted classes (cls, rep), from the texts of their representatives."""
-    named = wanted.select(F.col("cls").alias("want"), F.col("rep"))
-    rows = docs.join(named, docs["doc_id"].eqNullSafe(named["rep"])).select("want", "text")
+    named = written(wanted.select(F.col("cls").alias("want"), F.col("rep")), "wanted")
+    rows = _likely(docs, named).join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text")
 
     def scan(batches):
         for part, sets in _doc_sets(batches, 1):
@@ -326,39 +376,31 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "cls bigint, s binary")
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of the set's shingles over hash bins: differs in no more bits than sets differ in shingles."""
-    return np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
-
-
-def verify(pairs: DataFrame, sets: DataFrame, sketches: bool) -> DataFrame:
-    """(a, b, hot, linked, n, sketch): the verdict on each pair; n and sketch are of b, for hot pairs that a later step needs."""
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) among pairs (a, b, salt), on the whole sets."""
     firsts = pairs.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a")
-    both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b").join(firsts, ["a", "salt"]).select("a", "b", "hot", "sa", "sb")
+    both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b").join(firsts, ["a", "salt"]).select("a", "b", "sa", "sb")
 
     def check(batches):
         for batch in batches:
-            a, b, hot, sa, sb = batch.columns
-            linked, size, marks = [], [], []
-            last, x = None, None
-            for i, h in enumerate(hot.to_pylist()):
-                raw = sa[i].as_buffer()
-                if last is None or not raw.equals(last):
-                    last, x = raw, np.frombuffer(raw, np.uint64)
-                y = np.frombuffer(sb[i].as_buffer(), np.uint64)
+            a, b, sa, sb = batch.columns
+            linked = []
+            for i in range(batch.num_rows):
+                x, y = np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64)
                 small, big = (x, y) if len(x) <= len(y) else (y, x)
                 common = int((big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small).sum())
                 linked.append(100 * common >= 75 * (len(x) + len(y) - common))
-                size.append(len(y))
-                marks.append(sketch(y) if h and sketches else None)
-            yield pa.RecordBatch.from_arrays([a, b, hot, pa.array(linked), pa.array(size, pa.int32()), pa.array(marks, pa.binary())], names=["a", "b", "hot", "linked", "n", "sketch"])
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    return both.mapInArrow(check, "a bigint, b bigint, hot boolean, linked boolean, n int, sketch binary")
+    return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def _across(verdicts: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+def _across(checked: DataFrame, links: DataFrame, classes: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """Pairs of a pivot's partners in different components, at least one of them not linked with it, that sketches don't rule out."""
-    hot = verdicts.where("hot").select("a", F.col("b").alias("x"), "linked", "n", "sketch")
+    with_pivot = links.select("a", "b").distinct().withColumn("linked", F.lit(True))
+    hot = checked.where("hot").select("a", "b").distinct().join(with_pivot, ["a", "b"], "left")
+    hot = hot.select("a", F.col("b").alias("x"), F.coalesce("linked", F.lit(False)).alias("linked")).join(classes.select(F.col("cls").alias("x"), "n", "sketch"), "x")
     failing = hot.groupBy("a").agg(F.count_if(~F.col("linked")).alias("nf"), F.count(F.lit(1)).alias("nu")).where("nf > 0 and nu > 1")
     rows = hot.join(failing, "a").join(labels.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     nf, nu = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("nf", "nu"))
@@ -368,38 +410,37 @@ def _across(verdicts: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     every = rows.select(*common, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), nf - 1)).alias("i"), F.pmod(cell, nu).cast("int").alias("j"))
     cells = fail.unionByName(every).repartition(parts, "a", "i", "j").sortWithinPartitions("a", "i", "j", "side")
 
-    def cross(fs, us):
-        fx, fn, fm, fr = fs
-        ux, un, um, ur = us
-        out = []
-        for k in range(len(fx)):
-            total = np.minimum(fn[k], un) + np.maximum(fn[k], un)
-            look = np.flatnonzero((ur != fr[k]) & (4 * np.minimum(fn[k], un) >= 3 * np.maximum(fn[k], un)))
-            if len(look):
-                gap = np.bitwise_count(um[look] ^ fm[k]).sum(axis=1)
-                out += [(min(fx[k], y), max(fx[k], y)) for y in ux[look[gap <= total[look] // 7]].tolist()]
-        pairs = sorted(set(out))
+    def cross(fs: list[tuple], us: list[tuple]) -> pa.RecordBatch:
+        by_width: dict[int, list[tuple]] = {}
+        for u in us:
+            by_width.setdefault(len(u[2]) // 8, []).append(u)
+        packed = {}
+        for width, rows in by_width.items():
+            marks = np.frombuffer(b"".join(u[2] for u in rows), np.uint64).reshape(len(rows), width)
+            packed[width] = (np.array([u[0] for u in rows]), np.array([u[1] for u in rows], np.int64), marks, np.array([u[3] for u in rows]))
+        out = set()
+        for x, n, mark, root in fs:
+            mine = np.frombuffer(mark, np.uint64)
+            for width, (ux, un, um, ur) in packed.items():
+                look = np.flatnonzero((ur != root) & (4 * np.minimum(n, un) >= 3 * np.maximum(n, un)))
+                if len(look):
+                    least = min(width, len(mine))
+                    gap = np.bitwise_count(fold(um[look], least) ^ fold(mine, least)).sum(axis=1)
+                    out |= {(min(x, y), max(x, y)) for y in ux[look[gap <= (n + un[look]) // 7]].tolist()}
+        pairs = sorted(out)
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    def arrays(held):
-        x, n, m, r = zip(*held, strict=True)
-        return list(x), np.array(n, np.int64), np.frombuffer(b"".join(m), np.uint64).reshape(len(x), -1), np.array(r, np.int64)
-
     def scan(batches):
         key, held = None, ([], [])
         for batch in batches:
             for a, x, n, mark, root, side, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (a, i, j) != key:
                     if held[0] and held[1]:
-                        yield run(held)
+                        yield cross(*held)
                     key, held = (a, i, j), ([], [])
                 held[side].append((x, n, mark, root))
         if held[0] and held[1]:
-            yield run(held)
-
-    def run(held):
-        f, u = arrays(held[0]), arrays(held[1])
-        return cross(f, (np.array(u[0], np.int64), *u[1:]))
+            yield cross(*held)
 
     return cells.select(*common, "side", "i", "j").mapInArrow(scan, "a bigint, b bigint").distinct()
 
@@ -410,12 +451,21 @@ def join(docs: DataFrame) -> DataFrame:
         return _join(docs)
 
 
+def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links among pairs; sets are made anew from the texts of their classes alone."""
+    members = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = written(class_sets(rows, classes.select("cls", "rep").join(members, "cls", "left_semi")), "sets")
+    out = written(verify(pairs, sets), "verified")
+    drop_written(sets)
+    return out
+
+
 def _join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = written(doc_classes(rows), "classes")
-    classes = written(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "reps")
+    classes = written(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "reps")
     band = (F.floor(F.log("n") / math.log(4 / 3) * 4)).cast("int")  # finer than the bands, and few
     counts = classes.groupBy(band.alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.sum("n").alias("total")).collect()
     sizes: dict[int, int] = {}
@@ -426,17 +476,15 @@ def _join(docs: DataFrame) -> DataFrame:
     deletion = plans(sizes)
     buckets = max(parts, int(0.65 * total) // BUCKET_KEYS + 1)
     pairs = written(candidates(index_blocks(rows, deletion, buckets), parts, sum(sizes.values())), "pairs")
-    members = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = written(class_sets(rows, classes.join(members, "cls", "left_semi")), "sets")
-    verdicts = written(verify(pairs, sets, True), "verdicts")
-    links = verdicts.where("linked").select("a", "b")
+    checked = written(sift(pairs, classes), "sifted")
+    drop_written(pairs)
+    links = written(_linked(rows, classes, checked.where("near").select("a", "b", "salt").distinct()), "links")
     labels = components(links)
-    more = written(_across(verdicts, labels, parts), "across")
+    more = written(_across(checked, links, classes, labels, parts), "across")
     if not more.isEmpty():
-        late = verify(more.select("a", "b", F.lit(False).alias("hot"), F.lit(0).alias("salt")), sets, False).where("linked").select("a", "b")
-        roots = labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        labels = components(roots.unionByName(late))
-    drop_written(sets, pairs, verdicts, more)
+        late = _linked(rows, classes, more.select("a", "b", F.lit(0).alias("salt")))
+        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
+    drop_written(checked, links, more)
     rooted = classes.select("cls", "rep").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = written(rooted.join(least, "root").select("cls", "component_id"), "placed")
