@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,21 @@ def images(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
 
 
 def texts(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
-    """(path, text) of all text files under a folder."""
-    return spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text) of all text files under a folder, empty ones too: an empty label is a negative, and Spark's readers pass over empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    empty = spark.createDataFrame([(p, "") for p in _empty_files(spark, root, glob)], "path string, text string")
+    return files.select("path", F.col("content").cast("string").alias("text")).unionByName(empty)
+
+
+def _empty_files(spark: SparkSession, root: str, glob: str) -> list[str]:
+    """The names of the empty files, from the folder's listing alone."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listed, out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0 and fnmatch(f.getPath().getName(), glob):
+            out.append(f.getPath().toString())
+    return out
 
 
 def label_candidates(path: Column) -> Column:
