@@ -23,7 +23,9 @@ as rows.  Among the classes of a key, up to ``SMALL`` are paired directly; large
 groups are compared with one pivot, the smallest class.  What links to the pivot is in
 one component with it; what does not is compared with all partners of that pivot in
 another component, in blocks, by parity sketches whose Hamming distance never exceeds
-the sets' difference, so that filter loses nothing.  Every candidate is verified on
+the sets' difference, so that filter loses nothing.  Candidates are verified in rounds,
+the closest first: a dense group falls into one component at once, and pairs inside a
+component need no more verifying.  Every candidate is verified on
 the whole sets.  So no link between components is lost, though links inside one need
 not be listed.
 
@@ -58,6 +60,8 @@ SKETCH = (512, 1 << 16)
 FLUSH_KEYS = 1 << 20
 #: Rows of an Arrow batch, each of which may hold two whole sets.
 BATCH = 500
+#: Candidates of a partner in the first round of comparisons across components; each round takes so many times more.
+NEXT = 4
 #: Bits of the filter that spares texts a shuffle.
 FILTER = 1 << 23
 #: In the cost model: chance that a shingle of one set is in an unrelated one, and the cost of a candidate in index entries.
@@ -396,8 +400,13 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def _across(checked: DataFrame, links: DataFrame, classes: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """Pairs of a pivot's partners in different components, at least one of them not linked with it, that sketches don't rule out."""
+def _across(checked: DataFrame, links: DataFrame, classes: DataFrame, labels: DataFrame, parts: int, lo: int, hi: int) -> DataFrame:
+    """Pairs (a, b) of a pivot's partners in different components, at least one of them not linked with it, that sketches don't rule out.
+
+    Each partner's candidates in a block are ranked by how close their sketches are;
+    those of ranks lo to hi come out if they are in another component by now, and a
+    row without b says that there are such candidates further on.
+    """
     with_pivot = links.select("a", "b").distinct().withColumn("linked", F.lit(True))
     hot = checked.where("hot").select("a", "b").distinct().join(with_pivot, ["a", "b"], "left")
     hot = hot.select("a", F.col("b").alias("x"), F.coalesce("linked", F.lit(False)).alias("linked")).join(classes.select(F.col("cls").alias("x"), "n", "sketch"), "x")
@@ -421,13 +430,24 @@ def _across(checked: DataFrame, links: DataFrame, classes: DataFrame, labels: Da
         out = set()
         for x, n, mark, root in fs:
             mine = np.frombuffer(mark, np.uint64)
+            gaps, names, roots = [], [], []
             for width, (ux, un, um, ur) in packed.items():
-                look = np.flatnonzero((ur != root) & (4 * np.minimum(n, un) >= 3 * np.maximum(n, un)))
+                look = np.flatnonzero(4 * np.minimum(n, un) >= 3 * np.maximum(n, un))
                 if len(look):
                     least = min(width, len(mine))
                     gap = np.bitwise_count(fold(um[look], least) ^ fold(mine, least)).sum(axis=1)
-                    out |= {(min(x, y), max(x, y)) for y in ux[look[gap <= (n + un[look]) // 7]].tolist()}
-        pairs = sorted(out)
+                    use = gap <= (n + un[look]) // 7
+                    gaps.append(gap[use].astype(np.int64))
+                    names.append(ux[look[use]])
+                    roots.append(ur[look[use]])
+            if gaps:
+                name, other = np.concatenate(names), np.concatenate(roots) != root
+                order = np.lexsort((name, np.concatenate(gaps)))
+                name, other = name[order], other[order]
+                out |= {(min(x, y), max(x, y)) for y in name[lo:hi][other[lo:hi]].tolist()}
+                if other[hi:].any():
+                    out.add((x, None))
+        pairs = list(out)
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def scan(batches):
@@ -480,11 +500,20 @@ def _join(docs: DataFrame) -> DataFrame:
     drop_written(pairs)
     links = written(_linked(rows, classes, checked.where("near").select("a", "b", "salt").distinct()), "links")
     labels = components(links)
-    more = written(_across(checked, links, classes, labels, parts), "across")
-    if not more.isEmpty():
-        late = _linked(rows, classes, more.select("a", "b", F.lit(0).alias("salt")))
-        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
-    drop_written(checked, links, more)
+    lo, hi = 0, NEXT
+    while True:
+        found = written(_across(checked, links, classes, labels, parts, lo, hi), "across")
+        more = found.where("b is not null").select("a", "b", F.lit(0).alias("salt"))
+        if not more.isEmpty():
+            late = _linked(rows, classes, more)
+            old, labels = labels, components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
+            drop_written(old, late)
+        done = found.where("b is null").isEmpty()
+        drop_written(found)
+        if done:
+            break
+        lo, hi = hi, hi * NEXT
+    drop_written(checked, links)
     rooted = classes.select("cls", "rep").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = written(rooted.join(least, "root").select("cls", "component_id"), "placed")

@@ -166,7 +166,9 @@ def train(docs: DataFrame) -> Model:
     """Fits and calibrates on template variants and a bounded sample of corpus paragraphs."""
     spark = docs.sparkSession
     marks = "(?i)licen[cs]e|copyright|rights reserved|public domain|creative commons|permission|redistribution|spdx"
-    lines = _paragraphs(docs).where(~F.col("line").rlike(marks)).select("line", F.xxhash64("line").alias("k"))
+    share = min(1.0, 4 * NEGATIVES / max(1, docs.count()))  # documents enough for the paragraphs wanted, at any size
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+    lines = _paragraphs(some).where(~F.col("line").rlike(marks)).select("line", F.xxhash64("line").alias("k"))
     picked = lines.orderBy("k", "line").limit(NEGATIVES).select(F.lit(UNKNOWN).alias("family"), F.substr("line", F.lit(1), F.lit(4000)).alias("line"))
     variants = spark.range(1).select(
         F.inline(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(v).alias("line")) for f, ts in TEMPLATES.items() for t in ts for v in _variants(t))))

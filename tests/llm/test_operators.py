@@ -1,0 +1,432 @@
+"""Each operator against a brute-force version, and on awkward rows."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+WS = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+ALPHABET = "the of and to in is on that it for with as was at by this are ent ing er ion".split()
+
+
+def lower(s):
+    return s.translate({c: c + 32 for c in range(65, 91)})
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Prose in two languages, copies, near copies, and every awkward kind of row."""
+    rng = random.Random(11)
+    word = {"en": lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "the", "ing"]) for _ in range(rng.randint(1, 3))), "de": lambda: "".join(rng.choice(["sch", "ein", "ung", "ü", "ch", "der", "zu"]) for _ in range(rng.randint(1, 3)))}
+    out = []
+    for i in range(120):
+        lang = "en" if i % 3 else "de"
+        out.append((i, " ".join(word[lang]() for _ in range(rng.randint(30, 90))), lang, f"s{i % 4 if i % 3 else 0}", 1))
+    base = out[5][1].split()
+    for i in range(120, 150):  # near copies that chain
+        k = i - 120
+        copy = base[:]
+        for j in range(k % 5):
+            copy[(j * 13 + k) % len(copy)] = f"x{i}{j}"
+        out.append((i, " ".join(copy), "en", "s0", 1))
+    out += [(200 + i, out[7][1], "en", "s1", 1) for i in range(12)]
+    out += [(300, None, "en", "s1", None), (301, "", None, None, 0), (302, " \n\t ", "de", "s2", 3), (303, "one", "en", "s2", 3), (304, "a b c d", "en", "s2", 7), (305, "a b c d", None, "s3", 7)]
+    out += [(306, "### 123 !!!", "en", "s3", 5), (307, ("long words of text " * 4000).strip(), "en", "s3", 1), (308, "x" * 30000, "en", "s3", 1), (None, "no id here at all friends", "en", "s3", 1), (0, out[0][1], "de", "s0", 1), (0, out[0][1], "de", "s0", 1)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).withColumns({"shard": F.lit(1), "score": F.lit("x"), "topic": F.lit(None).cast("string"), "n": F.lit(0)}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_decontamination(spark, docs, rows, empty):
+    from boxwright.llm.decontamination import build_index, decontaminate, proximity_matches
+
+    words = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(s or ""))
+    text = rows[3][1]
+    items = [(1, text[:200]), (10, " ".join(words(rows[8][1])[5:18])), (2, "a b c d"), (3, None), (4, "..."), (None, text), (5, "absent words only here " * 4), (1, text[:200])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    windows = set()
+    for item, t in items:
+        w = words(t)
+        if item is not None and w:
+            n = min(13, len(w))
+            windows |= {(str(item), tuple(w[i : i + n])) for i in range(len(w) - n + 1)}
+    want = []
+    for doc_id, t, *_ in rows:
+        w, hit, its = words(t), set(), set()
+        for item, win in windows:
+            for i in range(len(w) - len(win) + 1):
+                if tuple(w[i : i + len(win)]) == win:
+                    hit |= set(range(i, i + len(win)))
+                    its.add(item)
+        want.append((doc_id, len(w), len(hit), len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    got = [tuple(r)[:6] for r in decontaminate(docs, bench).collect()]
+    assert Counter(got) == Counter(want)
+    assert any(r[5] for r in got)
+    assert decontaminate(empty, bench).count() == 0
+    assert decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    near = proximity_matches(build_index(docs), {"q": ["d", "a"], "far": ["a", "absent"]}, 4)
+    assert {(r["query"], r.doc_id) for r in near.collect()} == {("q", 304), ("q", 305)}
+
+
+def test_decontamination_in_blocks(spark, docs, monkeypatch):
+    from boxwright.llm import decontamination as d
+
+    bench = docs.where("doc_id in (3, 8, 9)").select(F.col("doc_id").alias("item_id"), "text")
+    whole = Counter(tuple(r)[:6] for r in d.decontaminate(docs, bench).collect())
+    monkeypatch.setattr(d, "BLOCK_WORDS", 50)
+    assert Counter(tuple(r)[:6] for r in d.decontaminate(docs, bench).collect()) == whole
+
+
+def shingles(t):
+    w = WS.findall(lower(t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_components(rows):
+    sets = [shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return Counter((r[0], len(sets[i]), least.get(find(i))) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("small", [8, 2])
+@pytest.mark.parametrize("wide", [False, True])
+def test_jaccard_join(docs, rows, small, wide, monkeypatch):
+    from boxwright.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    if wide:
+        monkeypatch.setattr(jaccard, "plans", lambda sizes: {b + d: True for b in sizes for d in (0, 1)})
+    got = Counter(tuple(r) for r in jaccard.join(docs).collect())
+    assert got == brute_components(rows)
+
+
+def test_jaccard_join_of_nothing(empty):
+    from boxwright.llm import jaccard
+
+    assert jaccard.join(empty).count() == 0
+
+
+def test_jaccard_keys_lose_no_link():
+    from boxwright.llm import jaccard, textscan
+
+    rng = np.random.default_rng(4)
+    for trial in range(300):
+        n = int(rng.integers(1, 120))
+        base = np.unique(textscan.mix(rng.integers(0, 1 << 62, n).astype(np.uint64)))
+        cut = base[rng.random(len(base)) > rng.random() * 0.3]
+        other = np.unique(np.concatenate([cut, textscan.mix(rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 6))).astype(np.uint64))]))
+        common = len(np.intersect1d(base, other))
+        if not len(other) or 100 * common < 75 * (len(base) + len(other) - common) or np.array_equal(base, other):
+            continue
+        for plan in ({}, dict.fromkeys(range(60), True)):
+            a, b = (set(np.concatenate([*jaccard.keys_of(s, plan), np.zeros(0, np.uint64)]).tolist()) for s in (base, other))
+            assert a & b, trial
+        assert jaccard.may_link(len(base), np.frombuffer(jaccard.sketch(base), np.uint64), len(other), np.frombuffer(jaccard.sketch(other), np.uint64))
+
+
+def test_token_store(spark, docs, rows, empty):
+    from boxwright.llm.common import scratch_path
+    from boxwright.llm.tokenstore import encoder, lookup, read_shards, write_shards
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = encoder(path).library
+    ids = {}
+    for doc_id, t, *_ in rows:
+        ids.setdefault(doc_id, []).append([*lib.encode(t or "", add_special_tokens=False).ids, 0])
+    manifest = write_shards(docs, scratch_path(spark, "t"), path)
+    got = sorted(read_shards(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
+    start = 0
+    for r in got:
+        assert r.start == start and (r.n_tokens, r.ids_crc32) in {(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids[r.doc_id]}
+        start += r.n_tokens
+    assert [x.tolist() for x in lookup(spark, manifest, 303)] == ids[303]
+    assert len(lookup(spark, manifest, 0)) == 3 and lookup(spark, manifest, 999) == []
+    assert read_shards(write_shards(empty, scratch_path(spark, "t"), path)).count() == 0
+
+
+def test_encoder_is_exact():
+    from boxwright.llm.tokenstore import encoder
+
+    e = encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["  a  b", " ", "", "a \n b c", "x y z", "　 a b", "it's 'll  done", "<|endoftext|> hi <|endoftext|>", "tab\t x \ty", "é. é, é!!! é?' (a).", "1.5, 2.5. a1. ²,", "a\x1c b \x1c c"]
+    for t, got in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == e.library.encode(t, add_special_tokens=False).ids
+
+
+def test_sharding(docs, rows, empty):
+    from boxwright.llm.sharding import shard
+
+    got = shard(docs, 5).collect()
+    size = lambda t: len((t or "").encode()) + 8
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], size(r[1]), zlib.crc32((r[1] or "").encode())) for r in rows)
+    for s in range(5):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+    assert {r.law for r in got} == {"bytes"} and all(r.grown_shard is None and 0 <= r.shard < 5 for r in got)
+    assert shard(empty, 5).count() == 0
+
+
+def test_sharding_is_near_equal(spark):
+    from boxwright.llm.sharding import shard
+
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text of a hot group")).otherwise(F.repeat(F.concat(F.col("id").cast("string"), F.lit("x")), (F.col("id") % 40).cast("int"))).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    total = [r["sum(size)"] for r in shard(df, 24).groupBy("shard").sum("size").collect()]
+    assert len(total) == 24 and max(total) < 1.03 * min(total)
+
+
+def test_language(docs, rows, empty):
+    from boxwright.llm.langid import identify
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    got = identify(docs, path).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (300, 301, 302, 306))
+    assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    prose = [r for r in rows if r[0] is not None and r[0] < 120]
+    assert sum(by[r[0]].lang_pred == r[2] for r in prose) == len(prose)
+    assert identify(empty, path).count() == 0
+
+
+def test_forward_sums_all_segmentations():
+    from boxwright.llm.langid import Pieces, word_scores
+
+    pieces = Pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rng = np.random.default_rng(2)
+    p = rng.random((pieces.size, 2))
+    p /= p.sum(axis=0)
+    id_of = {w: int(i) for i, w in enumerate(pieces.pieces)}
+    held = set(pieces.slot_id[pieces.slot_id >= 0].tolist())
+
+    def brute(word):
+        alpha = [np.ones(2)] + [np.zeros(2) for _ in word]
+        for j in range(1, len(word) + 1):
+            for i in range(max(0, j - 12), j):
+                k = id_of.get(word[i:j])
+                if k in held:
+                    alpha[j] = alpha[j] + alpha[i] * p[k]
+        return np.log(alpha[-1])
+
+    words = [b"the", b"sch\xc3\xbcler", b"a", b"theentionth"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    stop = np.cumsum([len(w) for w in words])
+    got = word_scores(pieces, np.vstack([p, np.zeros((1, 2))]), data, stop - [len(w) for w in words], stop)
+    assert np.allclose(got, [brute(b" " + w) for w in words])
+
+
+def quality_stats(t):
+    w = WS.findall(t or "")
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    n = Counter(grams)
+    covered = {q for i, g in enumerate(grams) if n[g] > 1 for q in range(i, i + 5)}
+    lines = [x for x in (t or "").split("\n") if WS.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark, docs, rows, empty):
+    from boxwright.llm.quality import apply_rules
+
+    labels = spark.createDataFrame([(i, int(i % 7 != 0)) for i in range(120)] + [(None, 1), (5, None), (5, 0)], "doc_id bigint, quality int")
+    got = apply_rules(docs, labels).collect()
+    stats = lambda r: (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+    assert Counter(map(stats, got)) == Counter((r[0], *quality_stats(r[1])) for r in rows)
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed) for r in got)
+    assert apply_rules(empty, labels).count() == 0
+    assert apply_rules(docs, labels.limit(0)).where("kept <> not base_failed").count() == 0
+
+
+def test_repeats_and_lines(spark):
+    from boxwright.llm.quality import text_stats
+
+    texts = ["a b c d e a b c d e", "a a a a a a a", "x y\n\nx y\n \nx  y\nx y", "a b c d e f a b c d e g", "é#| b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    for r in text_stats(df).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == quality_stats(texts[r.doc_id])
+
+
+def test_thresholds_hold_exact_bounds(spark):
+    from math import comb, log
+
+    from boxwright.llm.quality import log_binomial_tail
+
+    cases = [(100, 0), (400, 3), (1000, 2), (5000, 7)]
+    df = spark.createDataFrame(cases, "n bigint, k bigint")
+    for r in df.select("n", "k", log_binomial_tail(F.col("n"), F.col("k"), 0.0125).alias("p")).collect():
+        assert r.p == pytest.approx(log(sum(comb(r.n, j) * 0.0125**j * 0.9875 ** (r.n - j) for j in range(r.k + 1))), rel=1e-9)
+
+
+def test_risky_feature_gets_a_cutoff_that_spares_good_documents(spark):
+    from boxwright.llm.quality import apply_rules
+
+    good = F.col("id") % 4 != 0
+    df = spark.range(16000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some plain words that never repeat here at all "), F.col("id").cast("string"), F.when(good, F.lit("")).otherwise(F.repeat(F.lit(" ###"), 6))).alias("text"), F.lit("en").alias("lang"))
+    labels = df.select("doc_id", good.alias("g")).select("doc_id", F.col("g").cast("int").alias("quality"))
+    r = apply_rules(df, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    kept = {x.quality: x.kept for x in r}
+    assert kept[1] >= 0.98 and kept[0] == 0
+
+
+def test_mixing(docs, rows, empty):
+    from boxwright.llm.mixing import TEMPER, mix, sample
+
+    got = mix(docs, budget=0.4).collect()
+    assert len(got) == len(rows)
+    assert all(0 <= r.probability <= 1 for r in got)
+    have, want = Counter(), Counter()
+    for r in got:
+        have[r.source] += r.n_tokens
+        want[r.source] += r.n_tokens * r.probability
+    total = sum(have.values())
+    share = {s: (n / total) ** TEMPER["source"] for s, n in have.items() if n}
+    full = sum(share.values())
+    for s in share:  # met, or held back by what there is
+        assert want[s] == pytest.approx(0.4 * total * share[s] / full, rel=0.1) or want[s] >= 0.8 * have[s]
+    kept = sample(docs, budget=0.4)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.selected)
+    assert mix(empty).count() == 0
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(s) if c.isdigit()]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_pseudonyms(spark, docs, rows):
+    from boxwright.llm.pseudonyms import pseudonymise
+
+    a = "a und.34@mail7.example.com b +1 (017) 555-7713, 97.51.17.173. x 4845168114407329!!! 9807915762804490 2024-02-29 31/12/1999 2023-02-30"
+    b = "4845168114407329 und.34@mail7.example.com DE89370400440532013000 078-05-1120 999.1.1.1"
+    df = spark.createDataFrame([(1, a), (2, b), (3, None), (4, "")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pseudonymise(df, "k").collect()}
+    assert got[1].kinds == ["email", "phone", "ip", "card", "date", "date"] and got[2].kinds == ["card", "email", "iban", "ssn"]
+    assert got[3].text is None and got[4].text == ""
+    x, y = got[1].text, got[2].text
+    shape = lambda s: re.sub("[0-9]+", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", s)))
+    assert shape(x) == shape(a) and shape(y) == shape(b)
+    assert "9807915762804490" in x and "2023-02-30" in x and "999.1.1.1" in y
+    card = y.split()[0]
+    assert card in x and card != "4845168114407329" and luhn(card)
+    assert y.split()[1] in x and "und.34@" not in x
+    number = "".join(str(int(c, 36)) for c in y.split()[2][4:] + y.split()[2][:4])
+    assert int(number) % 97 == 1
+    assert pseudonymise(df, "other").where("doc_id = 2").first().text != y
+    assert pseudonymise(docs, "k").count() == len(rows)
+
+
+def test_feistel_is_a_permutation(spark):
+    from boxwright.llm.pseudonyms import feistel
+
+    df = spark.range(1000).select(F.array(*(F.floor(F.col("id") / 10**k % 10).cast("int") for k in (2, 1, 0))).alias("v"))
+    out = df.select(feistel(F.col("v"), F.array(F.lit(10), F.lit(10), F.lit(10)), F.lit("x"), "k").alias("p"))
+    assert len({tuple(r.p) for r in out.collect()}) == 1000
+
+
+def test_warc(spark, empty):
+    from boxwright.llm import warc
+    from boxwright.llm.common import scratch_path
+
+    rng = random.Random(6)
+    pages = [(i, f"http://h{i % 7}.example.org/p{rng.randint(0, 9)}?b=1&a={i}", f"<p>{rng.randint(0, 40)}</p>") for i in range(300)]
+    pages += [(400, None, None), (401, "http://x/", ""), (402, "not a url", "é\r\n\r\nWARC/1.1"), (None, "http://x/", "<p>1</p>"), (1, pages[1][1], pages[1][2])]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("digest", F.lit("x")).repartition(5)
+    folder = scratch_path(spark, "warc")
+    captures = warc.merge_runs(warc.write_archives(df, folder), folder, lines=512)
+    order = [r for r in captures.orderBy("place").collect()]
+    assert [r.place for r in order] == list(range(len(pages)))
+    assert [(r.url_key, r.timestamp) for r in order] == sorted((r.url_key, r.timestamp) for r in order)
+    first = {}
+    for i, _, h in pages:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    want = Counter()
+    for i, _, h in pages:
+        raw, f = (h or "").encode(), first.get(h or "")
+        later = i is not None and i > f
+        want[(i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if later else "response", f if later else None)] += 1
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(captures).collect())
+    assert got == want
+    none = warc.merge_runs(warc.write_archives(df.limit(0), scratch_path(spark, "warc")), folder)
+    assert warc.read_records(none).count() == 0
+
+
+def test_loser_tree_and_passes(spark, monkeypatch):
+    from boxwright.llm import warc
+    from boxwright.llm.common import scratch_path
+
+    rng = random.Random(1)
+    line = lambda v: {"key": f"{v:04d}", "time": "0", "id": v, "file": "f", "offset": 0}
+    runs = [sorted(rng.randint(0, 500) for _ in range(rng.randint(0, 30))) for _ in range(9)]
+    got = [x["id"] for x in warc.LoserTree([iter([line(v) for v in r]) for r in runs])]
+    assert got == sorted(v for r in runs for v in r)
+    assert list(warc.LoserTree([])) == []
+    monkeypatch.setattr(warc, "FAN_IN", 2)
+    pages = spark.range(50).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.b/"), F.col("id") % 9).alias("url"), F.lit("h").alias("html")).repartition(6)
+    folder = scratch_path(spark, "warc")
+    assert warc.merge_runs(warc.write_archives(pages, folder), folder).select("place").distinct().count() == 50
+
+
+def test_licences(spark, empty):
+    from boxwright.llm.licences import licences
+
+    noise = " ".join(ALPHABET)
+    texts = [f"{noise}\nReleased under the MIT License.\n{noise}", f"Licensed under CC BY-NC 4.0.\n{noise}", f"{noise} of the version of it", None, "", f"Licensed under the Apache License, Version 2.0.\n{noise}\nThis work is licensed under the GNU General Public License, version 3."]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.families) for r in licences(df).collect())
+    assert got == [(0, ["mit"]), (0, ["mit"]), (1, ["cc-by-nc-4.0"]), (2, []), (3, []), (4, []), (5, ["apache-2.0", "gpl-3.0"])]
+    assert licences(empty).count() == 0
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    import corpus_pipeline as p
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    docs.where("doc_id = 9").select(F.lit(1).cast("bigint").alias("item_id"), "text").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = {r.doc_id for r in now.collect()}
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == now.columns
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        ids = {r.doc_id for r in now.collect()}
+        assert ids <= before
+        if name == "language":
+            assert before - ids == {300, 301, 302, 306}
+        if name == "near_duplicates":
+            assert ids & set(range(200, 212)) == set() and 7 in ids and now.count() == len(ids)
+        if name == "decontamination":
+            assert before - ids == {9}
+        before = ids
+    assert {r.doc_id for r in p.STAGES[-1][1](spark, now, str(tmp_path)).collect()} == before
