@@ -317,10 +317,12 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard int, file string")
 
 
-def lookup(spark: SparkSession, manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
-    """The id arrays of one identifier: the manifest names the shards, a binary search the block."""
+def lookup(spark: SparkSession, manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
+    """The id arrays of one identifier (or of none): the manifest names the shards, a binary search the block."""
     found = []
-    for row in manifest.where(F.lit(doc_id).between(F.col("first_id"), F.col("last_id"))).orderBy("shard").collect():
+    inside = F.col("first_id").isNull() if doc_id is None else F.coalesce("first_id", F.lit(-(1 << 63))).cast("bigint") <= doc_id
+    holding = inside if doc_id is None else inside & (F.col("last_id") >= doc_id)
+    for row in manifest.where(holding).orderBy("shard").collect():
         store, at = filesystem(row.file)
         with store.open_input_file(at) as file:
             found += ShardReader(file).get(doc_id)
