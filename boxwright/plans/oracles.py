@@ -133,6 +133,15 @@ _TILES = "WITH s AS (SELECT DISTINCT p_size * 40 + 200 AS width, p_size * 23 + 2
 _NAME = "printf('clip %s_frame%06d_jpg.rf.%s.jpg', source, doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))"
 _OUT = f"CASE WHEN doc_id % 2 = 0 THEN 'neg_' ELSE '' END || substr(regexp_replace(source || '_' || {_NAME}, '[^A-Za-z0-9_.-]', '_', 'g'), 1, 120)"
 
+_FIXED = """w2 AS (SELECT *, CASE WHEN kind = 4 THEN 1.2::DOUBLE ELSE cx END AS gx FROM lines),
+f2 AS (SELECT *, greatest(0.0, gx - w / 2) AS a, greatest(0.0, cy - h / 2) AS b, least(1.0, gx + w / 2) AS c, least(1.0, cy + h / 2) AS d FROM w2),
+f3 AS (
+  SELECT stem, line_no, line, CASE WHEN kind <> 1 AND (abs((a + c) / 2 - gx) > 1e-9 OR abs((b + d) / 2 - cy) > 1e-9 OR abs(c - a - w) > 1e-9 OR abs(d - b - h) > 1e-9)
+    THEN printf('%s %.6f %.6f %.6f %.6f', CASE kind WHEN 2 THEN '0.0' WHEN 3 THEN '1' ELSE '0' END, (a + c) / 2, (b + d) / 2, c - a, d - b) ELSE line END AS fresh
+  FROM f2 WHERE image % 4 = 0
+)"""
+_QIOU = _IOU.replace("a.", "q.").replace("b.", "r.")
+
 ORACLE_SQL = {
     "alg10_leak_safe_merge": f"WITH {DISPOSED} SELECT source, disposition, count(*) AS n, min(path) AS first_path FROM disposed GROUP BY ALL",
     "alg10_dispositions": f"WITH {DISPOSED} SELECT source, path, disposition FROM disposed",
@@ -234,4 +243,19 @@ ORACLE_SQL = {
     "agg19_hit_rate": f"WITH {FRAMES} SELECT round(avg((conf >= 0.05)::INT), 6) AS hit_rate, count(*) AS frames FROM frames",
     "snk5_frame_report": f"WITH {FILTERED} SELECT 'train' AS split, CAST(idx AS VARCHAR) AS filename, verdict, printf('%.3f', greatest(conf, 0)) AS yolo_conf, printf('%.2f', motion) AS motion_score, reason FROM filtered",
     "snk6_moves": f"WITH {FILTERED} SELECT 'train' AS prior, CASE WHEN verdict = 'keep' THEN 'train' ELSE verdict || '/train' END AS split, count(*) AS n FROM filtered GROUP BY ALL",
+    "alg12_label_repair": f"WITH {LINES}, {_FIXED} SELECT stem, string_agg(fresh, chr(10) ORDER BY line_no, line) AS text, string_agg(fresh, chr(10) ORDER BY line_no, line) <> string_agg(line, chr(10) ORDER BY line_no, line) AS touched FROM f3 GROUP BY stem",
+    "alg14_failure_report": f"""{SWEEP}, ev AS (SELECT t, sum(hits) / nullif(sum(hits) + sum(fp), 0) AS p, sum(hits) / nullif(sum(n_gt), 0) AS r FROM m WHERE image % 2 = 0 GROUP BY t),
+      best AS (SELECT t FROM ev ORDER BY coalesce(2 * p * r / nullif(p + r, 0), 0) DESC, t LIMIT 1)
+      SELECT t AS threshold, count(*) AS imgs, sum(n_gt)::BIGINT AS gt, sum(hits)::BIGINT AS hit, sum(fp)::BIGINT AS fp FROM m JOIN best USING (t) WHERE image % 2 = 1 GROUP BY t""",
+    "alg3_nms": f"""WITH RECURSIVE {BOXES}, d AS (
+        SELECT image // 8 AS image, (k + floor(x1) * 10 + floor(y1) * 10000)::INT AS k, min(struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2, conf := conf)) AS s FROM pr GROUP BY ALL
+      ), ranked AS (SELECT image, k, s.conf AS conf, s.x1 AS x1, s.y1 AS y1, s.x2 AS x2, s.y2 AS y2, row_number() OVER (PARTITION BY image ORDER BY s.conf DESC, k) AS i FROM d),
+      walk(image, i, kept) AS (
+        SELECT DISTINCT image, 0::BIGINT, []::STRUCT(k INT, conf DOUBLE, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] FROM ranked
+        UNION ALL
+        SELECT w.image, r.i, CASE WHEN len(list_filter(w.kept, lambda q: {_QIOU} >= 0.1)) > 0 THEN w.kept
+          ELSE list_append(w.kept, struct_pack(k := r.k, conf := r.conf, x1 := r.x1, y1 := r.y1, x2 := r.x2, y2 := r.y2)) END
+        FROM walk w JOIN ranked r ON r.image = w.image AND r.i = w.i + 1
+      ), last AS (SELECT image, arg_max(kept, i) AS kept FROM walk GROUP BY image)
+      SELECT image, e.k AS k, e.conf AS conf FROM (SELECT image, unnest(kept) AS e FROM last)""",
 }
