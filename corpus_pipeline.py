@@ -30,12 +30,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies."""
+    """Keeps the document of the smallest id of each group of near copies; rows without an id are compared as whole texts only."""
     from boxwright.llm.jaccard import join
 
     found = join(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    first = docs.join(found, F.col("doc_id") == F.col("__kept")).drop("__kept")
-    return first.dropDuplicates(["doc_id"])
+    rows = docs.withColumn("__h", F.xxhash64("text"))
+    named = rows.join(found, F.col("doc_id") == F.col("__kept")).drop("__kept").dropDuplicates(["doc_id", "__h"])
+    return named.unionByName(rows.where("doc_id is null").dropDuplicates(["__h"])).drop("__h")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
