@@ -161,8 +161,10 @@ def training(docs: DataFrame, lang_col: str, usable: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(usable)
     ids = rows.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang").distinct()
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE).drop("r")
-    return rows.join(F.broadcast(ids), ["doc_id", "lang"])  # SAMPLE rows a language
+    ids = written(ids.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE).drop("r"), "sample-ids")
+    if ids.count() > MOST_LANGUAGES * SAMPLE:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return rows.join(F.broadcast(ids), ["doc_id", "lang"])
 
 
 def learn(docs: DataFrame, vocabulary: str, lang_col: str = "lang", usable: Column | None = None) -> tuple[list[str], np.ndarray]:
