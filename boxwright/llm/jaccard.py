@@ -60,8 +60,9 @@ SKETCH = (512, 1 << 16)
 FLUSH_KEYS = 1 << 20
 #: Rows of an Arrow batch, each of which may hold two whole sets.
 BATCH = 500
-#: Candidates of a partner in the first round of comparisons across components; each round takes so many times more.
-NEXT = 4
+#: Candidates of a partner in the first round of comparisons across components, and how many times more the next rounds take: the first
+#: joins dense groups, so few pairs are left for the others, and each costs a scan.
+NEXT, MORE = 4, 64
 #: Bits of the filter that spares texts a shuffle.
 FILTER = 1 << 23
 #: In the cost model: chance that a shingle of one set is in an unrelated one, and the cost of a candidate in index entries.
@@ -512,7 +513,7 @@ def _join(docs: DataFrame) -> DataFrame:
         drop_written(found)
         if done:
             break
-        lo, hi = hi, hi * NEXT
+        lo, hi = hi, hi * MORE
     drop_written(checked, links)
     rooted = classes.select("cls", "rep").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
