@@ -153,7 +153,7 @@ def flt2_out_of_bounds(spark, sf):
 
 def alg12_label_repair(spark, sf):
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n")
-    texts = _label_lines(spark, sf).where("cast(stem as bigint) % 4 = 0").groupBy("stem").agg(lines.alias("text"))
+    texts = _label_lines(spark, sf).groupBy("stem").agg(lines.alias("text"))
     return quality.repair_labels(texts, ["stem"])
 
 
