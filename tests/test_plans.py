@@ -30,3 +30,11 @@ def test_label_repair_takes_every_order(spark, tmp_path):
     want = {k: ("\n".join(map(clamped, v)), list(map(clamped, v)) != v) for k, v in files.items()}
     got = QUERIES["alg12_label_repair"](spark, str(tmp_path)).collect()
     assert len(got) == 23 and {r.stem: (r.text, r.touched) for r in got} == want
+
+
+def test_review_order_takes_every_frame(spark, tmp_path):
+    events = [(i, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", i % 7, float(i * 37 % 101), f'{{"k": {i * 5 % 29}}}') for i in range(1, 251)]
+    spark.createDataFrame(events, "event_id bigint, ts string, user_id bigint, value double, props string").selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    want = sorted((round(i * 5 % 29 % 13 / 100, 4) if i % 5 else 99.0, i % 7, i) for i in range(1, 251))
+    got = [(r.score, r.video, r.idx) for r in QUERIES["srt1_review_order"](spark, str(tmp_path)).collect()]
+    assert got == want
