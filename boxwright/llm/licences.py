@@ -1,16 +1,21 @@
 """Licence scans by a trained paragraph classifier, made of DataFrame functions alone.
 
-A paragraph (line) is described by the set of its word n-grams (n = 1 to 3 for the
-template check, 2 and 3 for the classifier).  A sparse logistic regression with one
-class for each licence family and one for unknown gives a probability; scores are
-calibrated by a temperature fitted on a held-out part, and a paragraph whose best
-family stays below ``SURE`` is unknown.  A prediction is confirmed by comparison with
-the family's templates: the best share of a template's n-grams found in the paragraph.
+A paragraph is a run of lines that aren't blank, joined by spaces.  Its word n-grams
+(n = 2 and 3) that have a weight say where notices may stand: a span for each place
+at which a template that holds the n-gram would lie, cut to its length and a bit
+wider, and the line itself.  Spans are sought in overlapping windows of ``WINDOW``
+words.  A sparse logistic regression with one class for each licence family and one
+for unknown gives each span a probability; scores are calibrated by a temperature
+fitted on a held-out part, and a span whose best family stays below ``SURE`` is
+unknown.  A prediction is confirmed by comparison with the family's templates: the
+best share of a template's n-grams (n = 1 to 3) found in the span.  Of spans that
+overlap, the one that holds most of a template counts, so a paragraph may hold any
+number of licences, wrapped over lines or side by side.
 
 The model is fitted on the driver from a bounded set: the family templates with
-deterministic variants, and at most ``NEGATIVES`` corpus paragraphs that hold no
+deterministic variants, and at most ``NEGATIVES`` corpus lines that hold no
 template (those with the smallest hashes).  Its weights, ``FEATURES`` at most, are
-joined by n-gram; only paragraphs that hold a weighted n-gram go on.
+joined by n-gram; only windows that hold a weighted n-gram go on.
 
 Defined results: a null, empty or wordless text has no licence; a licence that stands
 more than once counts in each place; repeated rows give one result row each; an empty
@@ -33,6 +38,8 @@ from .native import let
 NEGATIVES = 2000
 FEATURES = 20_000
 SURE, CONFIRM = 0.7, 0.6
+#: Words of a window, which begin at every half of it: no template's span is longer than that half.
+WINDOW = 256
 ROUNDS, STEP, DECAY = 200, 0.05, 1e-3
 
 #: Short public notices of each family.
@@ -56,14 +63,20 @@ TEMPLATES: dict[str, list[str]] = {
     "gpl-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.",
         "SPDX-License-Identifier: LGPL-3.0-only",
     ],
-    "agpl-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "agpl-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
     "bsd": [
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -156,19 +169,19 @@ def templates(spark) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(t).alias("line")) for f, t in rows))))
 
 
-def _paragraphs(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     return rows.where(F.length("line") > 2)
 
 
 def train(docs: DataFrame) -> Model:
-    """Fits and calibrates on template variants and a bounded sample of corpus paragraphs."""
+    """Fits and calibrates on template variants and a bounded sample of corpus lines."""
     spark = docs.sparkSession
     marks = "(?i)licen[cs]e|copyright|rights reserved|public domain|creative commons|permission|redistribution|spdx"
     share = min(1.0, 4 * NEGATIVES / max(1, docs.count()))  # documents enough for the paragraphs wanted, at any size
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    lines = _paragraphs(some).where(~F.col("line").rlike(marks)).select("line", F.xxhash64("line").alias("k"))
+    lines = _lines(some).where(~F.col("line").rlike(marks)).select("line", F.xxhash64("line").alias("k"))
     picked = lines.orderBy("k", "line").limit(NEGATIVES).select(F.lit(UNKNOWN).alias("family"), F.substr("line", F.lit(1), F.lit(4000)).alias("line"))
     variants = spark.range(1).select(
         F.inline(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(v).alias("line")) for f, ts in TEMPLATES.items() for t in ts for v in _variants(t))))
@@ -185,34 +198,94 @@ def train(docs: DataFrame) -> Model:
     return model
 
 
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, at, wd, ln): the words of each run of lines that aren't blank, and the line of each word."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, r"\n[^\S\n]*(?=\n)")).alias("at", "text"))
+    lines = F.transform(F.split("text", "\n"), line_words)
+    rows = rows.where(F.length("text") > 2).select("doc_id", "h", "at", lines.alias("lines"))
+    return rows.select("doc_id", "h", "at", F.flatten("lines").alias("wd"), F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.size(x)))).alias("ln"))
+
+
+def _places(spark) -> dict[str, list[dict]]:
+    """For each n-gram of a template: its family, the n-gram's offset and the template's length."""
+    out: dict[str, list[dict]] = {}
+    for r in templates(spark).select("family", line_words(F.col("line")).alias("wd")).collect():
+        for n in (2, 3):
+            for i in range(len(r.wd) - n + 1):
+                place = {"family": r.family, "off": i, "len": len(r.wd)}
+                held = out.setdefault(" ".join(r.wd[i : i + n]), [])
+                if place not in held:
+                    held.append(place)
+    return out
+
+
+def _spans(hits: Column, ln: Column, first: Column) -> Column:
+    """Where notices may stand in a window that begins at word first: [lo, hi) of each, in words of the paragraph."""
+    wide = lambda n: F.greatest(F.lit(4), F.floor(n / 6).cast("int"))
+    span = lambda lo, hi: F.struct(F.greatest(lo, first).cast("int").alias("lo"), F.least(hi, first + F.size(ln)).cast("int").alias("hi"))
+    fitted = lambda x, p: let(x["pos"] - p["off"], lambda s: F.array(span(s, s + p["len"]), span(s - wide(p["len"]), s + p["len"] + wide(p["len"]))))
+    by_template = F.flatten(F.flatten(F.transform(hits, lambda x: F.transform(F.coalesce(x["places"], F.array().cast(_PLACES)), lambda p: fitted(x, p)))))
+    its_lines = F.array_distinct(F.transform(hits, lambda x: F.get(ln, x["pos"] - first)))
+    by_line = F.transform(its_lines, lambda i: let(first + F.array_position(ln, i).cast("int") - 1, lambda lo: span(lo, lo + F.size(F.filter(ln, lambda y: y == i)))))
+    return F.array_distinct(F.concat(by_template, by_line))
+
+
+_PLACES = "array<struct<family:string,off:int,len:int>>"
+
+
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, h, at, family, probability, confirmed, line): each paragraph with a weighted n-gram, with its family or unknown."""
+    """(doc_id, h, at, lo, hi, family, probability, confirmed, line): the spans of a sure family that overlap no better one of their
+    paragraph; lo and hi bound the n-grams of the family, in words of the paragraph."""
     spark = docs.sparkSession
     model = model or train(docs)
     k = len(model.classes)
-    listed = json.dumps([{"gram": g, "w": model.weights[i].tolist()} for g, i in model.grams.items()])
-    weights = spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<gram:string,w:array<double>>>")))
-    lines = _paragraphs(docs)
-    held = lines.select("doc_id", "h", "at", "line", F.explode(ngrams(line_words(F.col("line")))).alias("gram")).join(F.broadcast(weights), "gram")  # FEATURES rows
-    per = held.groupBy("doc_id", "h", "at", "line").agg(F.collect_set(F.struct("gram", "w")).alias("ws"))
+    places = _places(spark)
+    listed = json.dumps([{"gram": g, "w": model.weights[i].tolist(), "places": places.get(g, [])} for g, i in model.grams.items()])
+    weights = spark.range(1).select(F.inline(F.from_json(F.lit(listed), f"array<struct<gram:string,w:array<double>,places:{_PLACES}>>")))
+    grams = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(n))))).otherwise(F.array().cast("array<string>"))
+    wd = F.col("wd")
+    held = _paragraphs(docs).select("doc_id", "h", "at", "wd", "ln", F.posexplode(F.concat(grams(wd, 2), grams(wd, 3))).alias("i", "gram")).join(F.broadcast(weights), "gram")  # FEATURES rows
+    three = F.col("i") >= F.size(wd) - 1
+    held = held.withColumn("pos", F.when(three, F.col("i") - F.size(wd) + 1).otherwise(F.col("i"))).withColumn("n", F.when(three, 3).otherwise(2))
+    half = F.floor(F.col("pos") / (WINDOW // 2)).cast("int")
+    held = held.withColumn("half", F.explode(F.when(half > 0, F.array(half - 1, half)).otherwise(F.array(half))))
+    first = F.col("half") * (WINDOW // 2)
+    cut = lambda c: F.slice(c, first + 1, F.lit(WINDOW))
+    held = held.select("doc_id", "h", "at", first.alias("first"), cut("wd").alias("wd"), cut("ln").alias("ln"), F.struct("pos", "n", "gram", "w", "places").alias("hit"))
+    per = held.where(F.col("hit.pos") + F.col("hit.n") <= F.col("first") + F.size("wd")).groupBy("doc_id", "h", "at", "first", "wd", "ln").agg(F.collect_set("hit").alias("hits"))
+    per = per.select("doc_id", "h", "at", "first", "wd", "hits", F.explode(_spans(F.col("hits"), F.col("ln"), F.col("first"))).alias("span"))
+    lo, hi = F.col("span.lo"), F.col("span.hi")
+    per = per.withColumn("hits", F.array_sort(F.filter("hits", lambda x: (x["pos"] >= lo) & (x["pos"] + x["n"] <= hi)))).where(F.size("hits") > 0)
     bias = F.array(*(F.lit(float(x)) for x in model.bias))
-    logits = F.aggregate(F.array_sort("ws"), bias, lambda acc, x: F.zip_with(acc, x["w"], lambda a, b: a + b))
+    once = F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.struct(x["gram"].alias("gram"), x["w"].alias("w")))))
+    logits = F.aggregate(once, bias, lambda acc, x: F.zip_with(acc, x["w"], lambda a, b: a + b))
     per = per.withColumn("z", F.transform(logits, lambda x: x / model.temperature)).withColumn("top", F.array_max(F.slice("z", 2, k - 1)))
     total = let(F.array_max("z"), lambda most: F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - most)))
     per = per.withColumn("probability", F.exp(F.col("top") - F.array_max("z")) / total)
     named = F.element_at(F.array(*(F.lit(c) for c in model.classes[1:])), F.array_position(F.slice("z", 2, k - 1), F.col("top")).cast("int"))
-    per = per.withColumn("guess", named).drop("ws", "z", "top")
+    per = per.withColumn("guess", named).where(F.col("probability") >= SURE).withColumn("line", F.slice("wd", lo - F.col("first") + 1, hi - lo)).drop("z", "top", "wd")
     known = templates(spark).select("family", ngrams(line_words(F.col("line")), 1).alias("t")).groupBy("family").agg(F.collect_list("t").alias("ts"))
     per = per.join(F.broadcast(known), per["guess"] == known["family"], "left").drop("family")  # a row a family
-    grams = ngrams(line_words(F.col("line")), 1)
-    share = let(grams, lambda g: F.array_max(F.transform("ts", lambda t: F.size(F.array_intersect(t, g)) / F.size(t))))
-    sure = F.col("probability") >= SURE
-    return per.select("doc_id", "h", "at", F.when(sure, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", (sure & (share >= CONFIRM)).alias("confirmed"), "line")
+    common = let(ngrams(F.col("line"), 1), lambda g: F.transform("ts", lambda t: F.struct((F.size(F.array_intersect(t, g)) / F.size(t)).alias("share"), F.size(F.array_intersect(t, g)).alias("held"))))
+    per = per.withColumn("common", common)
+    own = F.filter("hits", lambda x: F.exists(F.coalesce(x["places"], F.array().cast(_PLACES)), lambda p: p["family"] == F.col("guess")))
+    own = let(own, lambda o: F.when(F.size(o) > 0, o).otherwise(F.col("hits")))
+    lo, hi = F.array_min(F.transform(own, lambda x: x["pos"])), F.array_max(F.transform(own, lambda x: x["pos"] + x["n"]))
+    confirmed = F.exists("common", lambda x: x["share"] >= CONFIRM)
+    best = F.array_max(F.transform("common", lambda x: F.when(~confirmed | (x["share"] >= CONFIRM), x["held"]).otherwise(0)))
+    found = per.select("doc_id", "h", "at", F.struct((~confirmed).alias("open"), (-best).alias("less"), (hi - lo).alias("long"), lo.alias("lo"), hi.alias("hi"), F.col("guess").alias("family"), (-F.col("probability")).alias("p"), F.array_join("line", " ").alias("line")).alias("x"))
+    listed = found.groupBy("doc_id", "h", "at").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    clear = lambda acc, x: ~F.exists(acc, lambda y: (y["lo"] < x["hi"]) & (x["lo"] < y["hi"]))
+    none = F.slice("xs", 1, 0)
+    kept = F.aggregate("xs", none, lambda acc, x: F.when(clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    out = listed.select("doc_id", "h", "at", F.explode(kept).alias("x"))
+    return out.select("doc_id", "h", "at", "x.lo", "x.hi", "x.family", (-F.col("x.p")).alias("probability"), (~F.col("x.open")).alias("confirmed"), "x.line")
 
 
 def licences(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_licences, families (confirmed, sorted), unconfirmed, probability (the least of the confirmed)."""
-    found = scan(docs).where(F.col("family") != UNKNOWN)
+    found = scan(docs)
     per = found.groupBy("doc_id", "h").agg(
         F.count_if("confirmed").alias("n_licences"),
         F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
