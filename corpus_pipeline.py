@@ -29,22 +29,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*(F.col("text" if c == "text" else f"`in_{c}`").alias(c) for c in docs.columns))
 
 
+def identity(docs: DataFrame) -> DataFrame:
+    """docs with ``__k``, a 64-bit fingerprint of id and text: it names a row where ids are null or repeated, and equal rows share it."""
+    return docs.withColumn("__k", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies; rows without an id are compared as whole texts only."""
+    """Keeps one row of each group of near copies, that of the smallest id; a row without an id is kept only where its group has no id."""
     from boxwright.llm.jaccard import join
 
-    found = join(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.withColumn("__h", F.xxhash64("text"))
-    named = rows.join(found, F.col("doc_id") == F.col("__kept")).drop("__kept").dropDuplicates(["doc_id", "__h"])
-    return named.unionByName(rows.where("doc_id is null").dropDuplicates(["__h"])).drop("__h")
+    rows = written(identity(docs).dropDuplicates(["__k"]), "distinct")
+    found = join(rows.select(F.col("__k").alias("doc_id"), "text")).select(F.col("doc_id").alias("__k"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__k")
+    kept = rows.select("__k", "doc_id").join(found, "__k").groupBy("component_id").agg(F.min(order).alias("first")).select("first.__k")
+    return rows.join(kept, "__k").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects contaminated documents."""
+    """Rejects contaminated rows, whatever their id."""
     from boxwright.llm.decontamination import decontaminate
 
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__hit"), "left_anti")
+    rows = identity(docs)
+    found = decontaminate(rows.select(F.col("__k").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__k")).distinct()
+    return rows.join(found, "__k", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
