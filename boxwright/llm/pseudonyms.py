@@ -11,6 +11,13 @@ The network works on a list of symbols with a base each (1 for what must stay):
 turn each half is shifted, symbol by symbol modulo its base, by a keyed hash of the
 other half.
 
+Account, card and phone numbers are permuted as bare digits and letters and laid back
+between their separators, so all spellings of a number have one pseudonym; country
+codes of phones stay.  A phone of a country other than +1 that is followed by another
+number, one blank on, is taken together with it (15 digits at most); numbers of
+unlisted countries' accounts are found unbroken only, phones without + in the 3-3-4
+shape only, and a trunk (0) counts as a digit.
+
 Defined results: a null text stays null; texts without personal data stay as they
 are, and so do numbers that fail validation; repeated rows are treated alike; an
 empty table gives no rows.  Other columns are ignored.
@@ -23,16 +30,26 @@ from pyspark.sql import functions as F
 
 from .native import let
 
+#: What may stand between groups of an account or card number, and between digits of an international phone number.
+_SEP, _LOOSE = r"[ \u00A0-]", r"[ \u00A0.()/-]{0,3}"
+#: Lengths of account numbers: so many characters are taken, however they are grouped.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(rf"(?:{v.replace(' ', '|')})\d{{2}}(?:{_SEP}?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, v in _LENGTHS.items())
+#: Country codes of phone numbers: no code begins another.
+_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Kinds of values, in order of precedence where they begin at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "secret": r"(?<![A-Za-z0-9])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Fa-f]{16,128}(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+\d{1,3}[ -]?)?(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "phone": rf"(?<![A-Za-z0-9+])(?:\+1(?:{_LOOSE}\d){{10}}(?![A-Za-z0-9])|\+(?:{_LOOSE}\d){{8,15}}|(?:\(\d{{3}}\) ?|\d{{3}}[.-])\d{{3}}[.-]\d{{4}})(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{_IBANS}|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}})(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])",
     "date": r"(?<![A-Za-z0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![A-Za-z0-9/-])",
     "ip": r"(?<![A-Za-z0-9.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
-    "card": r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![A-Za-z0-9])",
+    "card": rf"(?<![A-Za-z0-9])(?:\d{{13,19}}|\d{{4}}(?:{_SEP}\d{{4}}){{3}}(?:{_SEP}\d{{3}})?|\d{{4}}{_SEP}\d{{6}}{_SEP}\d{{4,5}}|\d{{4}}(?:{_SEP}\d{{4}}){{2}}{_SEP}?\d)(?![A-Za-z0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 DOUBLE_ROUNDS = 4
@@ -113,13 +130,30 @@ def _date(value: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy"))).cast("date")
 
 
+def _bare(value: Column) -> Column:
+    return F.regexp_replace(value, r"[^A-Za-z0-9]", "")
+
+
+def _relaid(value: Column, fresh: Column) -> Column:
+    """The characters of fresh in place of the digits and letters of value, one by one."""
+    step = lambda acc, c: F.when(c.rlike("[A-Za-z0-9]"), F.struct(F.concat(acc["out"], F.substr(fresh, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at")))
+    return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda acc: acc["out"])
+
+
+def _card(value: Column) -> Column:
+    """The part of a found number that is a card's: without a group of three after four groups of four if that makes it valid; else null."""
+    valid = lambda v: let(_digits(v), lambda d: F.size(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
+    short = F.regexp_replace(value, rf"(?<=^.{{19}}){_SEP}\d{{3}}$", "")
+    return F.when(valid(value), value).when(valid(short), short)
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a found value, if it is valid; else null."""
     octets = F.transform(F.split(value, r"\."), lambda x: x.try_cast("int"))
     valid = {
         "ip": F.forall(octets, lambda x: x <= 255),
-        "card": let(_digits(value), lambda d: F.size(d).between(13, 19) & (luhn_sum(d) % 10 == 0)),
-        "iban": _mod97(value) == 1,
+        "card": _card(value).isNotNull(),
+        "iban": _mod97(_bare(value)) == 1,
         "ssn": ~value.rlike(r"^(?:000|666|9\d\d)|-00-|-0000$"),
         "date": _date(value).isNotNull(),
     }
@@ -137,16 +171,21 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a valid value of a kind."""
     at = F.instr(value, "@")
     email = F.concat(_characters(F.substr(value, F.lit(1), at - 1), F.concat(kind, F.substr(value, at)), key), F.substr(value, at))
-    phone = F.concat(F.regexp_extract(value, r"^(\+\d{1,3})?", 0), _characters(F.regexp_replace(value, r"^\+\d{1,3}", ""), kind, key))
+    number = _bare(value)
+    code = F.when(value.startswith("+"), F.regexp_extract(number, _CODE, 0)).otherwise("")
+    phone = _relaid(value, F.concat(code, _characters(F.substr(number, F.length(code) + 1), kind, key)))
     body = F.regexp_extract(value, r"[0-9A-Fa-f]{16,128}$", 0)
     secret = F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(body)), _characters(body, kind, key, hexadecimal=True))
     octets = F.transform(F.split(value, r"\."), lambda x: x.try_cast("int"))
     ip = F.array_join(F.transform(feistel(octets, F.array_repeat(F.lit(256), 4), kind, key), lambda x: x.cast("string")), ".")
-    whole = F.char_length(value)
-    head = _characters(F.substr(value, F.lit(1), whole - 1), kind, key)
+    part = F.coalesce(_card(value), value)
+    digits = _bare(part)
+    head = _characters(F.substr(digits, F.lit(1), F.length(digits) - 1), kind, key)
     card = let(head, lambda h: F.concat(h, F.pmod(-luhn_sum(F.concat(_digits(h), F.array(F.lit(0)))), F.lit(10)).cast("string")))
-    account = F.concat(F.substr(value, F.lit(1), F.lit(2)), F.lit("00"), _characters(F.substr(value, F.lit(5)), F.concat(kind, F.substr(value, F.lit(1), F.lit(2))), key))
+    card = F.concat(_relaid(part, card), F.substr(value, F.char_length(part) + 1))
+    account = F.concat(F.substr(number, F.lit(1), F.lit(2)), F.lit("00"), _characters(F.substr(number, F.lit(5)), F.concat(kind, F.substr(number, F.lit(1), F.lit(2))), key))
     iban = let(account, lambda x: F.concat(F.substr(x, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(x)).cast("string"), 2, "0"), F.substr(x, F.lit(5))))
+    iban = _relaid(value, iban)
     span = CYCLE[0] * CYCLE[1]
     days = F.datediff(_date(value), F.lit(_EPOCH).cast("date"))
     turn = lambda d: F.pmod(d, F.lit(span)).cast("int")
