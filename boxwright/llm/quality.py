@@ -10,7 +10,8 @@ no further correction); the level is split over all strata and rules (Bonferroni
 So with probability 1 - ``delta`` no stratum loses more than ``risk`` of its good
 documents.  A stratum without enough labels gets no cutoff and rejects nothing.
 
-Defined results: a null or blank text has zero words and fails the base rules; a
+Defined results: a null or blank text has zero words and fails the base rules;
+documents of null language are a stratum of their own; a
 document labelled more than once counts once, with its lowest quality; labels
 without a document or a quality are ignored; repeated rows give one result row each;
 an empty table gives no rows, empty labels no cutoffs.  Other columns are ignored.
@@ -26,6 +27,8 @@ from .native import let, words
 
 SYMBOLS = "#*$%&|<>"
 WIDTH = 5
+#: The stratum of documents without a language.
+NO_LANGUAGE = "\x01none"
 #: Good documents that all rules together may reject, and the chance that a stratum's true rate is above it.
 RISK, DELTA = 0.02, 0.05
 #: Strata whose cutoffs may be broadcast.
@@ -69,7 +72,7 @@ def text_stats(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.col(stratum).cast("string").alias("stratum"),
+        F.coalesce(F.col(stratum).cast("string"), F.lit(NO_LANGUAGE)).alias("stratum"),
         let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("bigint").alias("n"), _repeated(h).cast("bigint").alias("r"))).alias("w"),
         F.char_length(bare).cast("bigint").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
@@ -112,7 +115,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     import math
 
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q")).where("q > 0")
-    held = stats.where(~base_failed() & F.col("stratum").isNotNull()).join(good.select("doc_id"), "doc_id", "left_semi")
+    held = stats.where(~base_failed()).join(good.select("doc_id"), "doc_id", "left_semi")
     counts = [F.count(F.lit(1)).alias("n")]
     for name, (expression, cutoffs) in RULES.items():
         counts += [F.count_if(_feature(expression) > c).alias(f"{name}_{k}") for k, c in enumerate(cutoffs)]
