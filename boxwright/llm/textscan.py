@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 
 _R = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
+_R_64 = np.uint64(_R)
 _R_INV = pow(_R, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Bytes that are looked at together: what scanning and hashing hold beyond the bytes and the words themselves is some 40 times this, however long a text is.
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,15 +32,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 22)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_R), _powers(_R_INV)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The polynomial hash of each span data[start:stop], before mixing; both starts and stops ascend.
+
+    Sums run over one block of bytes at a time, with powers counted from the
+    block's first byte; a span that crosses blocks gathers its parts.
+    """
+    out = np.zeros(len(start), dtype=np.uint64)
+    sums = np.zeros(BLOCK + 1, dtype=np.uint64)
+    at = int(start[0]) if len(start) else 0
+    while len(start) and at < stop[-1]:
+        end = min(at + BLOCK, len(data))
+        np.cumsum(_BYTE[data[at:end]] * _UP[: end - at], out=sums[1 : end - at + 1])
+        lo, hi = int(np.searchsorted(stop, at, "right")), int(np.searchsorted(start, end, "left"))
+        first, last = np.maximum(start[lo:hi], at) - at, np.minimum(stop[lo:hi], end) - at
+        part = (sums[last] - sums[first]) * _DOWN[first]
+        over = int(np.searchsorted(start[lo:hi], at, "left"))  # spans begun in an earlier block
+        if over:
+            part[:over] *= np.array([pow(_R, at - x, 1 << 64) for x in start[lo : lo + over].tolist()], dtype=np.uint64)
+        out[lo:hi] += part
+        at = end
+    return out
 
 
 def space_separated() -> np.ndarray:
@@ -77,12 +100,25 @@ class Words:
     offsets: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * _power(_R, n), out=sums[1:])
-        return mix((sums[self.stop] - sums[self.start]) * _power(_R_INV, n)[self.start])
+        return mix(span_hashes(self.data, self.start, self.stop))
+
+
+def _edges(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end, block by block."""
+    begins, ends, n = [], [], len(data)
+    for at in range(0, n, BLOCK):
+        end = min(at + BLOCK, n)
+        inside = keep[data[max(at - 1, 0) : end + 1]]  # with the neighbours on both sides
+        own = inside[at - max(at - 1, 0) :][: end - at]
+        before = np.concatenate([inside[:1] if at else [False], own[:-1]])
+        after = np.concatenate([own[1:], inside[-1:] if end < n else [False]])
+        edge = offsets[np.searchsorted(offsets, at, "left") : np.searchsorted(offsets, end, "right")]  # a text's first byte begins a word whatever stands before it
+        before[edge[edge < end] - at] = False
+        after[edge[edge > at] - 1 - at] = False
+        begins.append(np.flatnonzero(own & ~before) + at)
+        ends.append(np.flatnonzero(own & ~after) + at + 1)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *begins]), np.concatenate([none, *ends])
 
 
 def scan(texts: pa.Array, keep: np.ndarray) -> Words:
@@ -94,17 +130,7 @@ def scan(texts: pa.Array, keep: np.ndarray) -> Words:
     raw = np.frombuffer(buf, dtype=np.uint8)[first:last] if buf is not None and last > first else np.zeros(0, np.uint8)
     offsets = offsets - first
     data = LOWER[raw]
-    inside = keep[data]
-    n = len(data)
-    begin, end = inside.copy(), inside.copy()
-    if n:
-        begin[1:] &= ~inside[:-1]
-        end[:-1] &= ~inside[1:]
-        edge = offsets[(offsets > 0) & (offsets < n)]  # a text's first byte begins a word whatever stands before it
-        begin[edge] = inside[edge]
-        end[edge - 1] = inside[edge - 1]
-    start = np.flatnonzero(begin)
-    stop = np.flatnonzero(end) + 1
+    start, stop = _edges(data, offsets, keep)
     return Words(data, start, stop, np.searchsorted(start, offsets), offsets)
 
 

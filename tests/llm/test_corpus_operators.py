@@ -220,30 +220,82 @@ def test_language(docs, rows, empty):
     assert identify(empty, path).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    from boxwright.llm.langid import Pieces, word_scores
+def unigram(seed, langs=2):
+    from boxwright.llm.langid import Pieces
 
     pieces = Pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    rng = np.random.default_rng(2)
-    p = rng.random((pieces.size, 2))
-    p /= p.sum(axis=0)
-    id_of = {w: int(i) for i, w in enumerate(pieces.pieces)}
-    held = set(pieces.slot_id[pieces.slot_id >= 0].tolist())
+    assert len(set(pieces.slot_id[pieces.slot_id >= 0].tolist())) == pieces.size  # none is lost
+    p = np.random.default_rng(seed).random((pieces.size, langs))
+    return pieces, p / p.sum(axis=0), {w: i for i, w in enumerate(pieces.pieces)}
+
+
+def laid_out(words):
+    stop = np.cumsum([len(w) for w in words])
+    return np.frombuffer(b"".join(words), np.uint8), stop - [len(w) for w in words], stop
+
+
+WORDS = [b"the", b"sch\xc3\xbcler", b"a", b"theentionth", b"internationalization" * 9, "языкинародовмира".encode() * 3, b"zq" * 40]
+
+
+def test_forward_sums_all_segmentations():
+    from boxwright.llm.langid import word_scores
+
+    pieces, p, id_of = unigram(2)
 
     def brute(word):
-        alpha = [np.ones(2)] + [np.zeros(2) for _ in word]
+        alpha = [np.zeros(2)] + [np.full(2, -np.inf) for _ in word]
         for j in range(1, len(word) + 1):
-            for i in range(max(0, j - 12), j):
+            for i in range(j):
                 k = id_of.get(word[i:j])
-                if k in held:
-                    alpha[j] = alpha[j] + alpha[i] * p[k]
-        return np.log(alpha[-1])
+                if k is not None:
+                    alpha[j] = np.logaddexp(alpha[j], alpha[i] + np.log(p[k]))
+        return alpha[-1]
 
-    words = [b"the", b"sch\xc3\xbcler", b"a", b"theentionth"]
-    data = np.frombuffer(b"".join(words), np.uint8)
-    stop = np.cumsum([len(w) for w in words])
-    got = word_scores(pieces, np.vstack([p, np.zeros((1, 2))]), data, stop - [len(w) for w in words], stop)
-    assert np.allclose(got, [brute(b" " + w) for w in words])
+    assert np.allclose(word_scores(pieces, p, *laid_out(WORDS)), [brute(b" " + w) for w in WORDS])
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    from boxwright.llm.langid import Lattice, expected, groups
+
+    pieces, p, id_of = unigram(3, 1)
+    words = [b"the", b"at", b"onion", b"of", b"x", b"theenti"]
+    counts = np.array([3.0, 1, 2, 5, 1, 4])
+
+    def cuts(word):
+        if not word:
+            yield ()
+        for j in range(1, len(word) + 1):
+            if word[:j] in id_of:
+                yield from ((id_of[word[:j]], *rest) for rest in cuts(word[j:]))
+
+    want = np.zeros(pieces.size)
+    for w, n in zip(words, counts, strict=True):
+        ways = [(np.prod(p[list(c), 0]), c) for c in cuts(b" " + w)]
+        for q, c in ways:
+            for k in c:
+                want[k] += n * q / sum(x for x, _ in ways)
+    got = np.zeros(pieces.size)
+    for at, rows, sizes in groups(*laid_out(words)):
+        expected(Lattice(pieces, rows), p[:, 0], sizes, counts[at], got)
+    assert np.allclose(got, want)
+    long = np.zeros(pieces.size)
+    for _, rows, sizes in groups(*laid_out(WORDS)):
+        expected(Lattice(pieces, rows), p[:, 0], sizes, np.ones(len(sizes)), long)
+    assert np.isclose(sum(long[i] * len(w) for w, i in id_of.items()), sum(len(w) + 1 for w in WORDS))  # every byte is in one piece
+
+
+def test_language_of_held_out_documents(spark):
+    """Held-out accuracy on the given tables; the lang column is no input of a prediction."""
+    import os
+
+    from boxwright.llm.langid import identify
+
+    at = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(at)
+    found = identify(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'").collect()
+    assert len(found) > 100 and sum(r.lang_pred == r.lang for r in found) >= 0.98 * len(found)
 
 
 def quality_stats(t):
