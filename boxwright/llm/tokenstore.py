@@ -14,22 +14,21 @@ and length; the Bloom filter answers for keys; the fixed-size footer says where
 they are.  So a lookup reads the footer, the filter and the index, finds the block
 by binary search and reads one block.
 
-Shards are written under a name of the attempt and moved to their own name when
-whole, so a lost or repeated task leaves no half shard.
+Each attempt of a task writes a file of its own; the manifest names those of the
+attempts that Spark counts, and the others are removed, so a lost or repeated task
+leaves no half shard and nothing is renamed.
 
-Defined results: a null text is encoded as empty, so has the end id alone; rows of
-one identifier (or none) are kept, in the order of their texts; an empty table
+Texts are encoded whole, so a worker holds the encoding of the longest text.  Defined
+results: a null text is encoded as empty, so has the end id alone; rows of one
+identifier (or none) are kept, in the order of their texts' hashes; an empty table
 gives no shards.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -170,74 +169,23 @@ class ShardReader:
 
 
 class Encoder:
-    """Exact encoding of whole texts with a bounded cache of what single-spaced words become.
+    """Whole texts encoded by the library, special tokens found as it finds them and none added."""
 
-    A byte-level pre-tokenizer never joins what stands on the two sides of a single
-    space between two non-spaces, and gives the space to the word after it.  So each
-    word, with the space before it, is encoded by the library once and looked up
-    after that; runs of other white space stay inside one unit.  Closing punctuation
-    after a letter or digit is a pre-token of its own, so it is encoded apart.
-    """
-
-    _single = re.compile(r"(?<=\S) (?=\S)")
-    _closing = ".,;:!?"
-
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.most, self.known, self.closing = most, {}, {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        kind = "HI"[self.width == 4]
-        out = [array(kind, x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for x in out:
-                x.byteswap()
-        return [x.tobytes() for x in out]
-
-    def _learn(self, words: list[str]) -> None:
-        known, bare, closed = self.known, set(), []
-        for w in words:
-            stem = w.rstrip(self._closing)
-            if stem and len(stem) < len(w) and stem[-1].isalnum() and stem[-1].isascii():
-                closed.append((w, stem, w[len(stem) :]))
-                if stem not in known:
-                    bare.add(stem)
-            else:
-                bare.add(w)
-        fresh = list(bare)
-        known.update(zip(fresh, self._library([" " + w for w in fresh]), strict=True))
-        ends = list({end for _, _, end in closed} - self.closing.keys())
-        self.closing.update(zip(ends, self._library(ends), strict=True))
-        for w, stem, end in closed:
-            known[w] = known[stem] + self.closing[end]
+        self.width = 2 if max(self.library.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known, self.closing = {}, {}
-        known, cut, missing = self.known, [], set()
-        for text in texts:
-            first, *rest = text.split(" ")
-            new = [w for w in rest if w not in known]
-            if not (first or not text) or any(not w or w[0].isspace() or w[-1].isspace() for w in new) or first[-1:].isspace():
-                first, *rest = self._single.split(text)
-                new = [w for w in rest if w not in known]
-            missing.update(new)
-            cut.append((first, rest))
-        words = list(missing)
-        for at in range(0, len(words), 20_000):
-            self._learn(words[at : at + 20_000])
-        heads = self._library([first for first, _ in cut])
-        return [head + b"".join(map(known.__getitem__, rest)) for head, (_, rest) in zip(heads, cut, strict=True)]
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype=f"<u{self.width}").tobytes() for x in found]
 
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, so that tasks share what is known."""
+    """One for each Python worker."""
     return Encoder(path)
 
 
@@ -250,7 +198,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    placed = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    placed = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -267,21 +215,35 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             for part in slices(batch, 1):
                 if out is None:
                     store.create_dir(root, recursive=True)
-                    sink = store.open_output_stream(f"{root}/.attempt-{shard:06d}-{attempt}", compression=None)
+                    name = f"shard-{shard:06d}-{attempt}.sst"
+                    sink = store.open_output_stream(f"{root}/{name}", compression=None)
                     out = ShardWriter(sink, words.width)
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
                     out.add(key_of(doc_id), ids + end)
         if out is not None:
             out.close()
             sink.close()
-            name = f"shard-{shard:06d}.sst"
-            store.move(f"{root}/.attempt-{shard:06d}-{attempt}", f"{root}/{name}")
             row = [shard, f"{folder}/{name}", out.entries, out.tokens, out.at, id_of(out.low), id_of(out.high)]
             kinds = [pa.int32(), pa.string(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
     with arrow_rows(spark, 2000):
-        return written(placed.mapInArrow(write, MANIFEST), "manifest")
+        manifest = written(placed.mapInArrow(write, MANIFEST), "manifest")
+    _drop_unlisted(manifest, folder)
+    return manifest
+
+
+def _drop_unlisted(manifest: DataFrame, folder: str) -> None:
+    """Removes what failed attempts left; the names are gathered only where there is such a file."""
+    from pyarrow import fs
+
+    store, root = filesystem(folder)
+    files = [x.path for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True))]
+    if len(files) > manifest.count():
+        listed = {r.file.rsplit("/", 1)[-1] for r in manifest.select("file").collect()}
+        for path in files:
+            if path.rsplit("/", 1)[-1] not in listed:
+                store.delete_file(path)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

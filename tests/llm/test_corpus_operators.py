@@ -156,10 +156,11 @@ def test_jaccard_keys_lose_no_link():
 
 def test_token_store(spark, docs, rows, empty):
     from boxwright.llm.common import scratch_path
-    from boxwright.llm.tokenstore import encoder, lookup, read_shards, write_shards
+    from boxwright.llm.tokenstore import lookup, read_shards, write_shards
+    from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    lib = encoder(path).library
+    lib = Tokenizer.from_file(path)
     ids = {}
     for doc_id, t, *_ in rows:
         ids.setdefault(doc_id, []).append([*lib.encode(t or "", add_special_tokens=False).ids, 0])
@@ -176,13 +177,18 @@ def test_token_store(spark, docs, rows, empty):
     assert read_shards(write_shards(empty, scratch_path(spark, "t"), path)).count() == 0
 
 
-def test_encoder_is_exact():
+def test_encoder_is_the_library(spark):
+    """Against a freshly loaded tokenizer, special tokens in texts included."""
+    from tokenizers import Tokenizer
+
     from boxwright.llm.tokenstore import encoder
 
-    e = encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["  a  b", " ", "", "a \n b c", "x y z", "　 a b", "it's 'll  done", "<|endoftext|> hi <|endoftext|>", "tab\t x \ty", "é. é, é!!! é?' (a).", "1.5, 2.5. a1. ²,", "a\x1c b \x1c c"]
-    for t, got in zip(texts, e.encode(texts), strict=True):
-        assert np.frombuffer(got, "<u2").tolist() == e.library.encode(t, add_special_tokens=False).ids
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(path)
+    texts = ["  a  b", " ", "", "a \n b c", "hi <|endoftext|> there", "it's 'll  done", "<|endoftext|> hi <|endoftext|>", "tab\t x \ty", "é. é, é!!! é?' (a).", "1.5, 2.5. a1. ²,", "a\x1c b \x1c c"]
+    for t, got in zip(texts, encoder(path).encode(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == fresh.encode(t, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encoder(path).encode([texts[4]])[0], "<u2")
 
 
 def test_sharding(docs, rows, empty):
