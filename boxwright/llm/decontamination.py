@@ -1,15 +1,21 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is a table of segments.  A segment holds the postings of a run of whole
-training texts: for each indexed term the sorted positions at which it occurs,
-with the texts laid end to end on one position axis, ``GAP`` positions apart, so
-that no match spans two texts.  A phrase is found by intersecting the
-offset-adjusted position lists of its terms, beginning with the term that is
-rarest in the segment; a proximity match is a run of positions of bounded length
-that holds every term of a query, sought around the rarest term.
+training texts: for each term the sorted positions at which it occurs, with the
+texts laid end to end on one position axis, ``GAP`` positions apart, so that no match
+spans two texts.  All terms are stored, so one index serves any benchmark.
+
+A window of an item is looked up by its anchor, the term of it that is rarest in the
+whole index: only windows whose anchor a segment has are tried there.  A phrase is
+found by intersecting the offset-adjusted position lists of its terms, beginning with
+the list that is shortest in the segment; a proximity match is a run of at most
+``NEAR`` words that holds all words of a window in any order, sought around its
+rarest word.
 
 Segments never move: building and searching are two scans without a shuffle, and
-the phrases travel to the segments in blocks of bounded size.
+items travel to the segments in blocks of bounded size; a group of segments shares
+each block.  Beyond its text a segment needs some 25 bytes a word, so a worker must
+hold that for the longest text.
 
 Defined results: a null or wordless text has no words, is hit nowhere and is not
 contaminated; an item without an id or without words is ignored; repeated ids of
@@ -27,15 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import delete_path, filesystem, scratch_path, written
+from .common import filesystem, scratch_path, written
 
 #: Words of a window, and the free positions between two texts of a segment.
 WIDTH = 13
 GAP = 64
 #: Bytes of text in a segment (one text at least).
-SEGMENT_BYTES = 8 << 20
-#: Item words that may be held on the driver and sent along with a scan; beyond, blocks are read from the shared folder.
-BLOCK_WORDS = 2_000_000
+SEGMENT_BYTES = 2 << 20
+#: Item words that may be held on the driver and sent along with a scan; beyond, blocks of so many are read from the shared folder.
+BLOCK_WORDS = 500_000
+#: Words among which all words of a window count as a proximity match, and postings of the segments that share the reading of a block.
+NEAR = 20
+GROUP = 8 << 20
 
 _SEGMENT = "doc_ids array<bigint>, n_words array<int>, base array<bigint>, terms array<bigint>, ptr array<bigint>, positions array<int>"
 
@@ -56,14 +65,14 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return rows.mapInArrow(scan, "item string, words array<bigint>").where(F.size("words") > 0)
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The postings of all texts as a table of segments; with a vocabulary, of its terms only."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The postings of all texts as a table of segments."""
     keep = textscan.alphanumeric()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textscan.slices(batch, 1, SEGMENT_BYTES):
-                yield _segment(part, keep, vocabulary)
+                yield _segment(part, keep)
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, _SEGMENT)
 
@@ -72,22 +81,14 @@ def _one(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def _segment(part: pa.RecordBatch, keep: np.ndarray, vocabulary: np.ndarray | None) -> pa.RecordBatch:
+def _segment(part: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
     words = textscan.scan(part.column(1), keep)
     h = words.hashes()
     counts = np.diff(words.ptr)
     base = words.ptr[:-1] + GAP * np.arange(len(counts), dtype=np.int64)
     at = np.arange(len(h), dtype=np.int64) + np.repeat(GAP * np.arange(len(counts), dtype=np.int64), counts)
-    if vocabulary is not None and len(vocabulary):
-        slot = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        known = vocabulary[slot] == h
-        slot, at = slot[known], at[known]
-        order = np.argsort(slot.astype(np.int32), kind="stable")
-        listed, begin = np.unique(slot[order], return_index=True)
-        terms = vocabulary[listed]
-    else:
-        order = np.argsort(h, kind="stable")
-        terms, begin = np.unique(h[order], return_index=True)
+    order = np.argsort(h, kind="stable")
+    terms, begin = np.unique(h[order], return_index=True)
     ptr = np.append(begin, len(order))
     return pa.RecordBatch.from_arrays(
         [
@@ -138,11 +139,12 @@ class Segment:
     def near(self, slots: np.ndarray, within: int) -> np.ndarray:
         """Positions of the rarest term around which all terms stand inside ``within`` consecutive words (any order)."""
         lists = sorted((self.postings(s) for s in np.unique(slots)), key=len)
+        found = lists[0].astype(np.int64)
+        for x in lists[1:]:  # first the places that have each term somewhere near
+            found = found[np.searchsorted(x, found - within + 1) < np.searchsorted(x, found + within)]
         out = []
-        for at in lists[0].tolist():
+        for at in found.tolist():
             around = [x[np.searchsorted(x, at - within + 1) : np.searchsorted(x, at + within)] for x in lists[1:]]
-            if any(not len(x) for x in around):
-                continue
             for lo in sorted({at, *(v for x in around for v in x.tolist() if v <= at)}):
                 if lo + within > at and all(np.searchsorted(x, lo) < np.searchsorted(x, lo + within) for x in around):
                     out.append(at)
@@ -150,18 +152,34 @@ class Segment:
         return np.array(out, dtype=np.int64)
 
 
-class Phrases:
-    """A block of items cut into windows, grouped by length."""
+class Windows:
+    """A block of items cut into windows, filed under their anchors."""
 
-    def __init__(self, items: list[str], words: list[np.ndarray], width: int):
-        self.items = np.array(items, dtype=object)
-        rows: dict[int, list[np.ndarray]] = {}
-        owner: dict[int, list[np.ndarray]] = {}
+    def __init__(self, items: list[str], words: list[np.ndarray], width: int, counts: dict[int, int]):
+        self.items = items
+        self.terms, flat = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_inverse=True)
+        count = np.array([counts.get(t, 0) for t in self.terms.view(np.int64).tolist()], dtype=np.int64)
+        self.rows: list[tuple[int, np.ndarray]] = []  # (item, numbers of its terms)
+        anchors, at = [], 0
         for i, w in enumerate(words):
-            n = min(len(w), width)
-            rows.setdefault(n, []).append(np.lib.stride_tricks.sliding_window_view(w, n))
-            owner.setdefault(n, []).append(np.full(len(w) - n + 1, i))
-        self.windows = [(n, np.concatenate(rows[n]), np.concatenate(owner[n])) for n in rows]
+            mine = flat[at : at + len(w)]
+            at += len(w)
+            for row in np.lib.stride_tricks.sliding_window_view(mine, min(len(w), width)):
+                self.rows.append((i, row))
+                anchors.append(int(row[np.argmin(count[row])]))
+        order = np.argsort(np.array(anchors, dtype=np.int64), kind="stable")
+        self.filed = order
+        self.anchor, first = np.unique(np.array(anchors, dtype=np.int64)[order], return_index=True)
+        self.first = np.append(first, len(order))
+
+    def tried(self, slots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, slots of its window) for windows all of whose terms have a slot, found through their anchors."""
+        for k in np.flatnonzero(slots[self.anchor] >= 0).tolist() if len(self.anchor) else ():
+            for r in self.filed[self.first[k] : self.first[k + 1]].tolist():
+                item, row = self.rows[r]
+                found = slots[row]
+                if (found >= 0).all():
+                    yield item, found
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -169,41 +187,71 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names) if name != "doc_ids"} | {"doc_ids": batch.column(0)[i].values}
 
 
-def _search(segment: Segment, blocks, hit: np.ndarray) -> dict[int, set]:
-    """Marks hit positions; returns the items found in each text."""
-    found: dict[int, set] = {}
-    for block in blocks():
-        for n, windows, owner in block.windows:
-            slots = segment.slots(windows)
-            for w in np.flatnonzero((slots >= 0).all(axis=1)).tolist():
-                starts = segment.phrase(slots[w])
-                if len(starts):
-                    np.add.at(hit, starts, 1)
-                    np.add.at(hit, starts + n, -1)
-                    for d in np.unique(segment.doc_of(starts)).tolist():
-                        found.setdefault(d, set()).add(block.items[owner[w]])
-    return found
+class Search:
+    """What a segment's texts have of the items."""
+
+    def __init__(self, row: dict, width: int):
+        self.segment, self.doc_ids = Segment(row), row["doc_ids"]
+        self.n, self.base, self.width = self.segment.n_words.astype(np.int64), self.segment.base, width
+        self.hit = np.zeros(int(self.base[-1] + self.n[-1]) + width + 1 if len(self.n) else 0, dtype=np.int32)
+        self.items: dict[int, set] = {}
+        self.near: dict[int, set] = {}
+
+    def look(self, block: Windows, within: int) -> None:
+        for item, slots in block.tried(self.segment.slots(block.terms)):
+            starts = self.segment.phrase(slots)
+            name = block.items[item]
+            if len(starts):
+                np.add.at(self.hit, starts, 1)
+                np.add.at(self.hit, starts + len(slots), -1)
+                for d in np.unique(self.segment.doc_of(starts)).tolist():
+                    self.items.setdefault(d, set()).add(name)
+            for d in np.unique(self.segment.doc_of(self.segment.near(slots, within))).tolist():
+                self.near.setdefault(d, set()).add(name)
+
+    def result(self) -> pa.RecordBatch:
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(self.hit) > 0)])
+        names = lambda found: pa.array([sorted(found.get(d, ())) for d in range(len(self.n))], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays(
+            [self.doc_ids, pa.array(self.n), pa.array(covered[self.base + self.n] - covered[self.base]), names(self.items), names(self.near)], names=["doc_id", "n_words", "n_hit", "items", "near_items"]
+        )
 
 
-def phrase_matches(index: DataFrame, blocks, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_words, n_hit, items): for each indexed text its hit words and the items with an occurring window."""
+def matches(index: DataFrame, blocks, width: int = WIDTH, within: int = NEAR) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, near_items): for each indexed text its hit words, the items with an occurring window and those with all words of one within so many words."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for row in _rows(batch):
-                segment = Segment(row)
-                n, base = segment.n_words.astype(np.int64), segment.base
-                if not len(n):
-                    continue
-                hit = np.zeros(int(base[-1] + n[-1]) + width + 1, dtype=np.int32)
-                found = _search(segment, blocks, hit)
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(hit) > 0)])
-                yield pa.RecordBatch.from_arrays(
-                    [row["doc_ids"], pa.array(n), pa.array(covered[base + n] - covered[base]), pa.array([sorted(found.get(d, ())) for d in range(len(n))], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "n_hit", "items"],
-                )
+                held.append(Search(row, width))
+                size += len(row["positions"])
+                if size >= GROUP:
+                    yield from settle(held)
+                    held, size = [], 0
+        yield from settle(held)
 
-    return index.mapInArrow(search, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>")
+    def settle(held: list[Search]) -> Iterator[pa.RecordBatch]:
+        for block in blocks() if held else ():
+            for one in held:
+                one.look(block, within)
+        for one in held:
+            if len(one.n):
+                yield one.result()
+
+    return index.mapInArrow(search, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, near_items array<string>")
+
+
+def term_counts(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n): how often each wanted term occurs in the index."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, pa.array(np.diff(batch.column(1)[i].values.to_numpy()))], names=["term", "n"])
+
+    counted = index.select("terms", "ptr").mapInArrow(scan, "term bigint, n bigint")
+    return counted.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def proximity_matches(index: DataFrame, queries: dict[str, list[str]], within: int) -> DataFrame:
@@ -230,45 +278,53 @@ def proximity_matches(index: DataFrame, queries: dict[str, list[str]], within: i
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: int = 20) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, n_near, near_items.
 
     A document is contaminated if it has hit words and they are at least one in
-    ``share`` of its words.
+    ``share`` of its words.  Proximity matches are reported and decide nothing.
     """
-    spark = docs.sparkSession
-    if width > GAP:
-        raise ValueError(f"a window may have {GAP} words at most")
+    if width > NEAR or NEAR > GAP:
+        raise ValueError(f"a window may have {NEAR} words at most")
+    index = written(build_index(docs), "postings")
     listed = written(item_words(items), "items")
-    total = listed.agg(F.sum(F.size("words"))).first()[0] or 0
-    if total <= BLOCK_WORDS:
-        rows = listed.collect()
-        words = [np.array(r.words, dtype=np.int64).view(np.uint64) for r in rows]
-        vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(1, dtype=np.uint64)
-        held = [Phrases([r.item for r in rows], words, width)]
-        blocks = lambda: held
-    else:
-        vocabulary = None
-        path = scratch_path(spark, "blocks")
-        listed.write.option("maxRecordsPerFile", max(1, int(BLOCK_WORDS * listed.count() / total))).parquet(path)
-        files = spark.read.parquet(path).inputFiles()
-
-        def blocks():
-            import pyarrow.parquet as pq
-
-            for uri in files:
-                store, at = filesystem(uri)
-                t = pq.read_table(at, filesystem=store)
-                yield Phrases(t.column("item").to_pylist(), [np.array(x, dtype=np.int64).view(np.uint64) for x in t.column("words").to_pylist()], width)
-
-    index = written(build_index(docs, vocabulary), "postings")
-    delete_path(spark, listed._scratch)
-    found = phrase_matches(index, blocks, width)
+    found = matches(index, _blocks(index, listed, width), width)
+    size = lambda c: F.size(c).cast("bigint")
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("items").cast("bigint").alias("n_items"),
+        size("items").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "items",
+        size("near_items").alias("n_near"),
+        "near_items",
     )
+
+
+def _blocks(index: DataFrame, listed: DataFrame, width: int):
+    """A function that gives the items in blocks, their windows anchored at the terms that are rarest in the index."""
+    spark = index.sparkSession
+    total, rows = listed.agg(F.sum(F.size("words")), F.count(F.lit(1))).first()
+    as_words = lambda x: np.array(x, dtype=np.int64).view(np.uint64)
+    if (total or 0) <= BLOCK_WORDS:
+        vocabulary = listed.select(F.explode("words").alias("term")).distinct()  # BLOCK_WORDS terms at most
+        counts = {r.term: r.n for r in term_counts(index, vocabulary).collect()}
+        held = listed.collect()
+        one = Windows([r.item for r in held], [as_words(r.words) for r in held], width, counts)
+        return lambda: [one]
+    path = scratch_path(spark, "blocks")
+    listed.repartition(max(1, -(-total // BLOCK_WORDS)), "item").write.option("maxRecordsPerFile", max(1, BLOCK_WORDS * rows // total)).parquet(path)
+    files = spark.read.parquet(path).inputFiles()
+
+    def blocks():
+        import pyarrow.parquet as pq
+
+        for uri in files:
+            store, at = filesystem(uri)
+            t = pq.read_table(at, filesystem=store)
+            words = [as_words(x) for x in t.column("words").to_pylist()]
+            terms, n = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_counts=True)
+            yield Windows(t.column("item").to_pylist(), words, width, dict(zip(terms.view(np.int64).tolist(), n.tolist(), strict=True)))  # anchored at what is rarest in the block
+
+    return blocks

@@ -78,12 +78,24 @@ def test_decontamination(spark, docs, rows, empty):
     got = [tuple(r)[:6] for r in decontaminate(docs, bench).collect()]
     assert Counter(got) == Counter(want)
     assert any(r[5] for r in got)
+    assert all(set(r["items"]) <= set(r.near_items) and r.n_near == len(r.near_items) for r in decontaminate(docs, bench).collect())
     assert decontaminate(empty, bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     near = proximity_matches(build_index(docs), {"q": ["d", "a"], "far": ["a", "absent"]}, 4)
     assert {(r["query"], r.doc_id) for r in near.collect()} == {("q", 304), ("q", 305)}
 
 
+def test_proximity_matches_against_brute_force(spark):
+    from boxwright.llm.decontamination import build_index, proximity_matches
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(30)]
+    queries = {"q1": ["a", "b", "c"], "q2": ["a", "h"], "q3": ["a", "b", "c", "d", "e", "f"]}
+    got = proximity_matches(build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")), queries, 7).select("query", "doc_id").distinct().collect()
+    want = {(q, i) for q, need in queries.items() for i, t in enumerate(texts) if any(set(need) <= set(t.split()[k : k + 7]) for k in range(40))}
+    assert {tuple(r) for r in got} == want
+
+
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     from boxwright.llm import decontamination as d
 
