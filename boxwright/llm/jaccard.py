@@ -2,49 +2,57 @@
 
 Two sets of sizes r and s link at a Jaccard similarity of 3/4 or more only if they
 differ in at most H = (r + s) / 7 shingles.  For each size band (a *level*: the band
-of the larger set) the hash universe is cut into m segments.  By the pigeonhole
-principle, two linked sets agree on one of any H + 1 segments, or differ by at most
-one shingle in one of (H + 1) / 2.  So a set is indexed under
+of the larger set) the hash universe is cut into segments.  By the pigeonhole
+principle, of any k segments two linked sets agree on k - H, and differ by at most one
+shingle in k - H / 2.  So a set is indexed under
 
-* plan ``exact``: the contents of its first H + 1 segments that aren't empty (of all
-  segments, empty ones too, where there are fewer), or
-* plan ``deletion``: the contents of all of (H + 1) / 2 wider segments, and their
+* plan ``exact``: the contents of its first H + 1 + e segments that aren't empty (of
+  all segments, empty ones too, where there are fewer), or
+* plan ``deletion``: the contents of all of (H + 1) / 2 + e wider segments, and their
   one-deletion neighbourhoods.
 
-A level's plan is the one of lower estimated cost, index entries plus expected chance
-candidates, from how many sets it has: entries grow with the number of sets, chance
-candidates with its square, so wide segments pay off as the corpus grows.
+Either way linked sets share ``need`` = 1 + e keys, where e is ``EXTRA`` of what one
+shared key would take.  Skipping empty segments loses nothing: let x be the one of two
+sets whose prefix ends first; whatever of it agrees lies in the other's prefix too.
 
-Skipping empty segments loses nothing: let x be the one of two sets whose prefix
-ends first.  If no key is shared then each of x's H + 1 segments in it differs.
+A level's plan is the one of lower cost, index entries and candidates to verify, both
+counted on a bounded sample of the sets: entries grow with the number of sets, chance
+candidates with its square.
 
 Equal sets are one class.  Keys travel as sorted blocks (bucket, keys, classes), not
-as rows.  Among the classes of a key, up to ``SMALL`` are paired directly; larger
-groups are compared with one pivot, the smallest class.  What links to the pivot is in
-one component with it; what does not is compared with all partners of that pivot in
-another component, in blocks, by parity sketches whose Hamming distance never exceeds
-the sets' difference, so that filter loses nothing.  Candidates are verified in rounds,
-the closest first: a dense group falls into one component at once, and pairs inside a
-component need no more verifying.  Every candidate is verified on
-the whole sets.  So no link between components is lost, though links inside one need
-not be listed.
+as rows.  Classes of a key that has ``SMALL`` at most are paired directly.  Other keys
+are *hot*; a pair that shares a key that isn't hot needs none of them, and a pair that
+doesn't shares ``need`` hot keys.  So only classes with as many hot keys at a level
+matter to them (passages that many texts share give few), and of those keys all but
+the need - 1 in the largest groups suffice (a prefix in one global order).
+
+Each class left is first compared with one pivot, the smallest class of its largest
+group: dense groups fall into components.  Then, of each key, members outside the
+component that most of its members are in are compared with that component and among
+themselves, in blocks, by parity sketches whose Hamming distance never exceeds the
+sets' difference, so that filter loses nothing.  What passes is verified in rounds,
+the closest first; pairs inside a component need no verifying.  Every candidate is
+verified on the whole sets.  So no link between components is lost, though links
+inside one need not be listed.
 
 Shingles are 64-bit fingerprints, and so are classes (with the set's size).
 
 Defined results: a null or wordless text has an empty set and is its own component;
 equal sets are linked; rows without an id are grouped like others, and the component
 is named by the smallest id in it (null if there is none); repeated rows give one
-result row each; an empty table gives no rows.  Other columns are ignored.
+result row each; an empty table gives no rows.  Other columns are ignored.  A worker
+holds some 60 bytes a word of the longest text.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan
@@ -52,21 +60,27 @@ from .common import arrow_rows, drop_written, written
 from .components import components
 
 WIDTH = 5
-#: Classes of a key that are paired directly; keys of a bucket; rows of a comparison block; least and most sketch bits.
+#: Classes of a key that are paired directly, and how many keys more are indexed than one shared key would take.
 SMALL = 8
+EXTRA = 0.3
+#: Keys of a bucket, of a slice of it that is grouped at once, and those that a task gathers before it gives them out.
 BUCKET_KEYS = 4 << 20
+SLICE_KEYS = 512 << 10
+FLUSH_KEYS = 1 << 20
+#: Rows of a comparison block; least and most sketch bits.
 BLOCK = 4096
 SKETCH = (512, 1 << 16)
-FLUSH_KEYS = 1 << 20
 #: Rows of an Arrow batch, each of which may hold two whole sets.
 BATCH = 500
-#: Candidates of a partner in the first round of comparisons across components, and how many times more the next rounds take: the first
+#: Candidates of a class in the first round of comparisons across components, and how many times more the next rounds take: the first
 #: joins dense groups, so few pairs are left for the others, and each costs a scan.
 NEXT, MORE = 4, 64
-#: Bits of the filter that spares texts a shuffle.
-FILTER = 1 << 23
-#: In the cost model: chance that a shingle of one set is in an unrelated one, and the cost of a candidate in index entries.
-CHANCE, VERIFY = 0.002, 50.0
+#: Parts of the partners of one class when sets are brought together.
+SALTS = 32
+#: Most bits of the filter that spares texts a shuffle; it has 16 a wanted text up to that, and none is used beyond 2 a text.
+FILTER = 1 << 27
+#: Shingles in the sample that plans are chosen by, and the cost of a candidate in index entries.
+SAMPLED, VERIFY = 250_000, 50.0
 
 
 def band_edges() -> list[int]:
@@ -85,21 +99,13 @@ def differs(r: int, s: int) -> int:
     return (r + s) // 7
 
 
-def plans(sizes: dict[int, int]) -> dict[int, bool]:
-    """For each level whether it uses one-deletion neighbourhoods; sizes: number of sets in each band."""
-    out = {}
-    for level in {b + d for b in sizes for d in (0, 1)}:
-        n, hi = sizes.get(level, 0) + sizes.get(level - 1, 0), int(EDGES[level + 1]) - 1
-        h = differs(hi, hi)
-        exact = n * (h + 1) + VERIFY * n * n / 2 * (h + 1) * CHANCE ** max(1.0, hi / segments(level, False))
-        wide = n * (hi + (h + 2) // 2) + VERIFY * n * n / 2 * hi * CHANCE ** max(1.0, hi / segments(level, True) - 1)
-        out[level] = wide < exact
-    return out
-
-
-def segments(level: int, deletion: bool) -> int:
-    h = differs(int(EDGES[level + 1]) - 1, int(EDGES[level + 1]) - 1)
-    return (h + 2) // 2 if deletion else math.ceil(1.15 * (h + 1)) + 2
+def layout(level: int, deletion: bool) -> tuple[int, int]:
+    """(segments, need) of a level: linked sets share so many keys."""
+    top = int(EDGES[level + 1]) - 1
+    h = differs(top, top)
+    least = (h + 2) // 2 if deletion else h + 1
+    extra = int(EXTRA * least)
+    return (least + extra if deletion else math.ceil(1.25 * (least + extra)) + 2), 1 + extra
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -107,8 +113,12 @@ def fingerprint(s: np.ndarray) -> int:
     return int(textscan.mix(np.array([textscan.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def keys_of(s: np.ndarray, deletion: dict[int, bool]) -> Iterator[np.ndarray]:
-    """The index keys of a set, at the level of its band and, if it can be the smaller set there, at the next."""
+#: The last bit of the 48 that are kept of a key says whether its level is odd; a set has keys of two levels at most, one after the other.
+_PARITY = np.uint64(1 << 16)
+
+
+def keys_of(s: np.ndarray, deletion: dict[int, bool]) -> Iterator[tuple[int, np.ndarray]]:
+    """(level, index keys) of a set: at the level of its band and, if it can be the smaller set there, at the next."""
     n = len(s)
     band = int(np.searchsorted(EDGES, n, "right")) - 1
     most = n * 4 // 3
@@ -120,7 +130,7 @@ def keys_of(s: np.ndarray, deletion: dict[int, bool]) -> Iterator[np.ndarray]:
         if h == 0:
             continue  # only equal sets link
         wide = deletion.get(level, False)
-        m = segments(level, wide)
+        m, need = layout(level, wide)
         cut = np.searchsorted(s, np.array([(1 << 64) * i // m for i in range(1, m)], dtype=np.uint64))
         cut = np.concatenate([[0], cut, [n]])
         size = np.diff(cut)
@@ -130,11 +140,13 @@ def keys_of(s: np.ndarray, deletion: dict[int, bool]) -> Iterator[np.ndarray]:
         salt = textscan.mix(np.arange(m, dtype=np.uint64) + np.uint64((level << 32) + 1))
         if wide:
             seg = np.repeat(np.arange(m), size)
-            yield textscan.mix(np.concatenate([content + salt, content[seg] - mixed + salt[seg]]))
-            continue
-        full = np.flatnonzero(size)
-        use = full[: h + 1] if len(full) > h else np.arange(m)
-        yield textscan.mix(content[use] + salt[use])
+            keys = np.concatenate([content + salt, content[seg] - mixed + salt[seg]])
+        else:
+            full = np.flatnonzero(size)
+            use = full[: h + need] if len(full) >= h + need else np.arange(m)
+            keys = content[use] + salt[use]
+        keys = textscan.mix(keys)
+        yield level, keys | _PARITY if level % 2 else keys & ~_PARITY
 
 
 def _doc_sets(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -145,6 +157,31 @@ def _doc_sets(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple
                 yield part, list(textscan.shingle_sets(textscan.scan(part.column(text_at), keep), WIDTH))
 
 
+def plans(rows: DataFrame, total: int) -> dict[int, bool]:
+    """For each level whether it uses one-deletion neighbourhoods, by what a sample of some SAMPLED of all total shingles counts for both."""
+    one_in = max(1, total // SAMPLED)
+
+    def scan(batches):
+        for _, sets in _doc_sets(batches, 0):
+            for s in sets:
+                for wide in (False, True) if len(s) else ():
+                    every = dict.fromkeys(range(len(EDGES)), wide)
+                    for level, keys in keys_of(s, every):
+                        n = len(keys)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, level, np.int32)), pa.array(np.full(n, wide)), pa.array(keys.view(np.int64)), pa.array(np.full(n, fingerprint(s)))], names=["level", "wide", "key", "cls"]
+                        )
+
+    keys = rows.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text").mapInArrow(scan, "level int, wide boolean, key bigint, cls bigint").distinct()
+    met = keys.groupBy("level", "wide", "key").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("cls")).alias("classes"))  # of a bounded sample
+    met = met.groupBy("level", "wide").agg(F.sum("n").alias("entries"), F.collect_list(F.when(F.col("n").between(2, SMALL), F.col("classes"))).alias("groups")).collect()
+    cost: dict[tuple[int, bool], float] = {}
+    for r in met:
+        pairs = {p for g in r.groups for p in combinations(g, 2)}
+        cost[r.level, r.wide] = r.entries * one_in + VERIFY * len(pairs) * one_in**2
+    return {level: cost[level, True] < cost[level, False] for level, wide in cost if wide}
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Parities of the set's shingles over hash bins, two bins or more a shingle: sketches differ in no more bits than sets in shingles."""
     bits = min(max(SKETCH[0], 1 << (2 * len(s) - 1).bit_length()), SKETCH[1])
@@ -168,39 +205,37 @@ def may_link(n: int, mark: np.ndarray, m: int, other: np.ndarray) -> bool:
 
 
 def doc_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, sketch) of each row; cls and sketch are null for an empty set."""
+    """(row, doc_id, n_shingles, cls, sketch) of rows (row, doc_id, text); cls and sketch are null for an empty set."""
 
     def scan(batches):
-        for part, sets in _doc_sets(batches, 1):
+        for part, sets in _doc_sets(batches, 2):
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "cls", "sketch"],
+                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                names=["row", "doc_id", "n_shingles", "cls", "sketch"],
             )
 
-    return docs.mapInArrow(scan, "doc_id bigint, n_shingles bigint, cls bigint, sketch binary")
+    return docs.mapInArrow(scan, "row bigint, doc_id bigint, n_shingles bigint, cls bigint, sketch binary")
 
 
 def sift(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs with near: false where sizes or sketches rule a link out."""
+    """The pairs (a, b) that sizes and sketches don't rule out."""
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"m_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "hot", "salt", "n_a", "m_a", "n_b", "m_b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "m_a", "n_b", "m_b")
 
     def check(batches):
         for batch in batches:
-            n, m = batch.column(4).to_pylist(), batch.column(6).to_pylist()
+            n, m = batch.column(2).to_pylist(), batch.column(4).to_pylist()
             marks = lambda i, k, batch=batch: np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64)
-            near = [may_link(n[i], marks(i, 5), m[i], marks(i, 7)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near, pa.bool_())], names=["a", "b", "hot", "salt", "near"])
+            near = pa.array([may_link(n[i], marks(i, 3), m[i], marks(i, 5)) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
-    return both.mapInArrow(check, "a bigint, b bigint, hot boolean, salt int, near boolean")
+    return both.mapInArrow(check, "a bigint, b bigint")
 
 
 def _blocks(keys: np.ndarray, owner: np.ndarray, fps: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Sorted blocks, one for each range of keys; the first 48 bits of a key lie there byte plane by byte plane, which packs well."""
-    order = np.argsort(keys)
-    keys, owner = keys[order], owner[order]
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    keys >>= np.uint64(16)
+    bucket = _bucket_of(keys, buckets)
+    keys = keys >> np.uint64(16)
     ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1
     a = 0
     for b in ends.tolist():
@@ -210,19 +245,45 @@ def _blocks(keys: np.ndarray, owner: np.ndarray, fps: np.ndarray, sizes: np.ndar
         a = b
 
 
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 _BLOCK = "bucket int, keys binary, place binary, fps binary, sizes binary"
 
 
 def index_blocks(docs: DataFrame, deletion: dict[int, bool], buckets: int) -> DataFrame:
+    """The keys of all classes in blocks.
+
+    Of a key that more classes of one flush have than SMALL, SMALL + 1 go to the
+    bucket, which so knows the key as hot; the others are given out at once, in rows
+    with a bucket below 0: keys, members of each, classes.
+    """
+
     def flush(held):
-        fps = list(held)
-        sizes, keys = zip(*held.values(), strict=True)
-        owner = np.repeat(np.arange(len(fps)), [len(k) for k in keys])
-        rows = list(_blocks(np.concatenate(keys), owner, np.array(fps, "<i8"), np.array(sizes, "<i4"), buckets))
+        fps, owners = np.array(list(held), "<i8"), np.repeat(np.arange(len(held)), [len(k) for _, k in held.values()])
+        sizes, keys = np.array([n for n, _ in held.values()], "<i4"), np.concatenate([k for _, k in held.values()])
+        order = np.argsort(keys >> np.uint64(16), kind="stable")
+        keys, owners = keys[order], owners[order]
+        start, count = _runs(keys >> np.uint64(16))
+        late = np.arange(len(keys)) - np.repeat(start, count) > SMALL
+        if late.any():
+            yield from _hot_rows(keys[late], owners[late], fps, sizes)
+            keys, owners = keys[~late], owners[~late]
+        rows = list(_blocks(keys, owners, fps, sizes, buckets))
         for at in range(0, len(rows), 64):
             cols = list(zip(*rows[at : at + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "keys", "place", "fps", "sizes"])
 
+    def _hot_rows(keys, owners, fps, sizes):
+        short = keys >> np.uint64(16)
+        start, count = _runs(short)
+        need = _needs(short[start], sizes[owners[start]], deletion)
+        at = int(textscan.mix(short[:1])[0] % np.uint64(1 << 16))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1 - at], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (short[start], count.astype("<i4"), fps[owners], need))], names=["bucket", "keys", "place", "fps", "sizes"]
+        )
+
     def scan(batches):
         held: dict[int, tuple[int, np.ndarray]] = {}
         total = 0
@@ -231,26 +292,40 @@ def index_blocks(docs: DataFrame, deletion: dict[int, bool], buckets: int) -> Da
                 fp = fingerprint(s) if len(s) else None
                 if fp is None or fp in held:
                     continue
-                keys = list(keys_of(s, deletion))
+                keys = [k for _, k in keys_of(s, deletion)]
                 if keys:
                     held[fp] = len(s), np.concatenate(keys)
                     total += len(held[fp][1])
-            if total > FLUSH_KEYS:
-                yield from flush(held)
-                held, total = {}, 0
+                if total > FLUSH_KEYS:
+                    yield from flush(held)
+                    held, total = {}, 0
         if held:
             yield from flush(held)
 
     return docs.select("text").mapInArrow(scan, _BLOCK)
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the runs of equal sorted values."""
+    start = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(values)))
+
+
+def _needs(short: np.ndarray, sizes: np.ndarray, deletion: dict[int, bool]) -> np.ndarray:
+    """The keys that linked sets share at the level of each key, which one of its sets' size and the key's parity tell."""
+    band = np.searchsorted(EDGES, sizes, "right") - 1
+    level = band + ((band ^ (short & np.uint64(1)).astype(np.int64)) & 1)
+    of = {k: layout(k, deletion.get(k, False))[1] for k in np.unique(level).tolist()}
+    return np.array([of[k] for k in level.tolist()], "<i4")
+
+
 def _near(sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x, y = sizes[a], sizes[b]
     return 4 * np.minimum(x, y) >= 3 * np.maximum(x, y)
 
 
-def _bucket_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of a bucket: (smaller class, other class, whether from a large group), each once."""
+def _groups(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """(classes, sizes, groups) of a bucket; groups come slice by slice of the key range, as sorted distinct (key, class number) of keys with two classes or more."""
     keys, owner, fps, sizes, base = [], [], [], [], 0
     for planes, place, fp, size in rows:
         n = len(planes) // 6
@@ -258,119 +333,109 @@ def _bucket_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         raw[:, 5::-1] = np.frombuffer(planes, np.uint8).reshape(6, n).T
         keys.append(raw.view("<u8").reshape(-1))
         f = np.frombuffer(fp, "<i8")
-        owner.append(np.frombuffer(place, "<u2" if len(f) <= 1 << 16 else "<u4").astype(np.int64) + base)
+        owner.append(np.frombuffer(place, "<u2" if len(f) <= 1 << 16 else "<u4").astype(np.int32) + np.int32(base))
         fps.append(f)
         sizes.append(np.frombuffer(size, "<i4"))
         base += len(f)
     who, first, name = np.unique(np.concatenate(fps), return_index=True, return_inverse=True)
     size = np.concatenate(sizes)[first].astype(np.int64)
-    key, cls = np.concatenate(keys), name[np.concatenate(owner)]
-    order = np.argsort(key)
-    key, cls = key[order], cls[order]
-    same = key[1:] == key[:-1]
-    shared = np.append(same, False) | np.append(False, same)
-    key, cls = key[shared], cls[shared]
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
-    fresh = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])) if len(key) else np.zeros(0, bool)
-    key, cls = key[fresh], cls[fresh]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(start, len(key)))
-    left, right, large = [], [], []
-    for g in range(2, SMALL + 1):
-        rowsg = start[count == g]
-        if len(rowsg):
-            members = cls[rowsg[:, None] + np.arange(g)]
-            i, j = np.triu_indices(g, 1)
-            left.append(members[:, i].reshape(-1))
-            right.append(members[:, j].reshape(-1))
-            large.append(np.zeros(len(left[-1]), bool))
-    big = np.flatnonzero(count > SMALL)
-    if len(big):
-        n = count[big] - 1
-        at = np.repeat(start[big] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        left.append(np.repeat(cls[start[big]], n))
-        right.append(cls[at])
-        large.append(np.ones(len(at), bool))
-    if not left:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(bool)
-    a, b, hot = np.concatenate(left), np.concatenate(right), np.concatenate(large)
-    ok = _near(size, a, b) | hot  # a pivot's partners are all kept: they may link among themselves
-    code = (a[ok] * len(who) + b[ok]) * 2 + hot[ok]
-    code = np.unique(code)
-    return who[code // 2 // len(who)], who[code // 2 % len(who)], code % 2 == 1
-
-
-def candidates(blocks: DataFrame, parts: int, classes: int) -> DataFrame:
-    """(a, b, hot, salt): distinct candidates; hot ones have the pivot as a.
-
-    A bucket gives a row for each first class and salt, with the other classes as a
-    list; the lists of one first class and salt meet in a second shuffle.
-    """
-    salts = max(1, classes // 100_000)
-
-    def pair(batches):
+    low, high = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys) + 1
+    parts = -(-sum(map(len, keys)) // SLICE_KEYS)
+    bounds = np.array([low + (high - low) * i // parts for i in range(parts + 1)], dtype=np.uint64)
+
+    def each():
+        cuts = [np.searchsorted(k, bounds) for k in keys]
+        for i in range(parts):
+            key = np.concatenate([k[c[i] : c[i + 1]] for k, c in zip(keys, cuts, strict=True)])
+            cls = name[np.concatenate([o[c[i] : c[i + 1]] for o, c in zip(owner, cuts, strict=True)])]
+            order = np.argsort(key)
+            key, cls = key[order], cls[order]
+            same = key[1:] == key[:-1]
+            shared = np.append(same, False) | np.append(False, same) if len(key) else np.zeros(0, bool)
+            key, cls = key[shared], cls[shared]
+            order = np.lexsort((cls, key))
+            key, cls = key[order], cls[order]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])) if len(key) else np.zeros(0, bool)
+            yield key[fresh], cls[fresh]
+
+    return who, size, each()
+
+
+def candidates(blocks: DataFrame, parts: int, deletion: dict[int, bool]) -> DataFrame:
+    """(hot, a, need, others): pairs as a class and partners; members of a hot key as the key, what linked sets share at its level, and classes."""
+
+    def meet(batches):
         bucket, held = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] < 0:
+                    keys, counts, members, need = (np.frombuffer(x, t) for x, t in zip(row[1:], ("<i8", "<i4", "<i8", "<i4"), strict=True))
+                    yield from listed(True, keys, need, counts, members)
+                    continue
                 if row[0] != bucket and held:
-                    yield from lists(held)
+                    yield from settle(held)
                     held = []
                 bucket = row[0]
                 held.append(row[1:])
         if held:
-            yield from lists(held)
-
-    def lists(held):
-        a, b, hot = _bucket_pairs(held)
-        if not len(a):
-            return
-        salt = (textscan.mix(b.view(np.uint64)) % np.uint64(salts)).astype(np.int32)
-        order = np.lexsort((b, salt, hot, a))
-        a, b, hot, salt = a[order], b[order], hot[order], salt[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (hot[1:] != hot[:-1]) | (salt[1:] != salt[:-1]))
-        at = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a[at]), pa.array(hot[at]), pa.array(salt[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(a)).astype(np.int32)), pa.array(b))], names=["a", "hot", "salt", "others"]
-        )
-
-    def union(batches):
-        key, held = None, []
-        for batch in batches:
-            others = batch.column(3)
-            for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                if k != key and held:
-                    yield distinct(key, held)
-                    held = []
-                key = k
-                held.append(others[i].values.to_numpy())
-        if held:
-            yield distinct(key, held)
-
-    def distinct(key, held):
-        b = np.unique(np.concatenate(held))
-        n = len(b)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), pa.array(b), pa.array([key[1]] * n), pa.array([key[2]] * n, pa.int32())], names=["a", "b", "hot", "salt"])
-
-    met = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(pair, "a bigint, hot boolean, salt int, others array<bigint>")
-    return met.repartition(parts, "a", "hot", "salt").sortWithinPartitions("a", "hot", "salt").mapInArrow(union, "a bigint, b bigint, hot boolean, salt int")
-
-
-def _likely(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """docs without most of the rows whose ids aren't wanted: a bitmap of hashed ids, FILTER bits at any scale, spares their shuffle."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    maps = named.select(slot("rep").alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("__m")).agg(F.bitmap_construct_agg((F.col("slot") % 32768).cast("bigint")).alias("__bits"))
-    at = F.col("__s") % 32768
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    rows = docs.withColumn("__s", slot("doc_id")).withColumn("__m", F.floor(F.col("__s") / 32768)).join(F.broadcast(maps), "__m")  # FILTER bits
-    return rows.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*docs.columns)
-
-
-def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, s): the whole sets of wanted classes (cls, rep), from the texts of their representatives."""
-    named = written(wanted.select(F.col("cls").alias("want"), F.col("rep")), "wanted")
-    rows = _likely(docs, named).join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text")
+            yield from settle(held)
+
+    def listed(hot, a, need, counts, others):
+        ends = np.cumsum(counts)
+        at = 0
+        while at < len(a):  # batches of bounded length
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, "right")))
+            lo, hi = int(ends[at - 1]) if at else 0, int(ends[to - 1])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends[at:to] - lo).astype(np.int32)), pa.array(others[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array([hot] * (to - at)), pa.array(a[at:to]), pa.array(need[at:to], pa.int32()), lists], names=["hot", "a", "need", "others"])
+            at = to
+
+    def settle(held):
+        who, size, groups = _groups(held)
+        codes = []
+        for key, cls in groups:
+            start, count = _runs(key)
+            for g in range(2, SMALL + 1):
+                rows = start[count == g]
+                if len(rows):
+                    members = cls[rows[:, None] + np.arange(g)]
+                    i, j = np.triu_indices(g, 1)
+                    a, b = members[:, i].reshape(-1), members[:, j].reshape(-1)
+                    ok = _near(size, a, b)
+                    codes.append(np.unique(a[ok].astype(np.int64) * len(who) + b[ok]))
+            big = np.flatnonzero(count > SMALL)
+            if len(big):
+                inside = np.repeat(count > SMALL, count)
+                yield from listed(True, key[start[big]].view(np.int64), _needs(key[start[big]], size[cls[start[big]]], deletion), count[big], who[cls[inside]])
+        code = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]))
+        if len(code):
+            a, b = who[code // len(who)], who[code % len(who)]
+            start, count = _runs(a)
+            yield from listed(False, a[start], np.zeros(len(start), np.int32), count, b)
+
+    return blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "hot boolean, a bigint, need int, others array<bigint>")
+
+
+def dominated(hot: DataFrame) -> DataFrame:
+    """(key, cls): the memberships of hot keys (key, need, cls) that pairs without another shared key can't all lack."""
+    inc = hot.withColumn("odd", F.col("key") % 2)
+    enough = inc.groupBy("cls", "odd").agg(F.count(F.lit(1)).alias("h"), F.max("need").alias("least")).where("h >= least").select("cls", "odd")
+    inc = inc.join(enough, ["cls", "odd"])
+    groups = inc.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
+    mine = Window.partitionBy("cls", "odd")  # as many rows as a set has keys of a level
+    ranked = inc.join(groups, "key").withColumns({"r": F.row_number().over(mine.orderBy("g", "key")), "h": F.count(F.lit(1)).over(mine)})
+    return ranked.where("h >= need and r <= h - need + 1").select("key", "cls")
+
+
+def pivots(inc: DataFrame) -> DataFrame:
+    """(a, b): of each class b the smallest class of its largest group."""
+    groups = inc.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("cls").alias("a")).where("g > 1")
+    return inc.join(groups, "key").where("a <> cls").groupBy(F.col("cls").alias("b")).agg(F.max_by("a", F.struct("g", "a")).alias("a")).select("a", "b")
+
+
+def class_sets(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """(cls, s): the whole sets of wanted classes, the table named (want, row), from the texts of rows (row, text)."""
+    rows = _likely(docs, named, named.count()).join(named, "row").select("want", "text")
 
     def scan(batches):
         for part, sets in _doc_sets(batches, 1):
@@ -378,11 +443,25 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             keep = [(w, s.tobytes()) for w, s in zip(want, sets, strict=True) if len(s) and fingerprint(s) == w]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.binary())], names=["cls", "s"])
 
-    return rows.mapInArrow(scan, "cls bigint, s binary")
+    return rows.mapInArrow(scan, "cls bigint, s binary").dropDuplicates(["cls"])  # repeated rows give a set more than once
+
+
+def _likely(docs: DataFrame, named: DataFrame, wanted: int) -> DataFrame:
+    """docs without most of the rows that aren't wanted: a bitmap of hashed rows, FILTER bits at most, spares their shuffle."""
+    bits = min(FILTER, max(1 << 20, 1 << (16 * wanted).bit_length()))
+    if bits < 2 * wanted:
+        return docs
+    slot = F.pmod(F.xxhash64("row"), F.lit(bits))
+    maps = named.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("__m")).agg(F.bitmap_construct_agg((F.col("slot") % 32768).cast("bigint")).alias("__bits"))
+    at = F.col("__s") % 32768
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = docs.withColumn("__s", slot).withColumn("__m", F.floor(F.col("__s") / 32768)).join(F.broadcast(maps), "__m")  # FILTER bits
+    return rows.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*docs.columns)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) among pairs (a, b, salt), on the whole sets."""
+    """The links among pairs (a, b), on the whole sets; the set of an a with many partners goes to SALTS tasks."""
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     firsts = pairs.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a")
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b").join(firsts, ["a", "salt"]).select("a", "b", "sa", "sb")
 
@@ -401,69 +480,88 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def _across(checked: DataFrame, links: DataFrame, classes: DataFrame, labels: DataFrame, parts: int, lo: int, hi: int) -> DataFrame:
-    """Pairs (a, b) of a pivot's partners in different components, at least one of them not linked with it, that sketches don't rule out.
+def compared(inc: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell, side, x, root), written: what must be compared across components.
 
-    Each partner's candidates in a block are ranked by how close their sketches are;
-    those of ranks lo to hi come out if they are in another component by now, and a
-    row without b says that there are such candidates further on.
+    Of each key the component of most members is its main one.  A member outside it
+    meets all of that component (a cell a component, whatever keys brought it there),
+    and the other members outside it (a cell a key; of keys with the same such members
+    one stays).
+    """
+    roots = labels.select(F.col("node").alias("cls"), "root")
+    rows = written(inc.join(roots, "cls", "left").select("key", F.col("cls").alias("x"), F.coalesce("root", "cls").alias("root")), "rooted")
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main")
+    out = written(rows.join(main, "key").where("root <> main"), "outside")
+    to_main = out.select(F.concat(F.lit("c"), "main").alias("cell"), "x", "root", "main").distinct()
+    all_of = rows.select("x", "root").distinct().join(to_main.select(F.col("main").alias("root"), "cell").distinct(), "root")
+    same = out.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("x", F.lit(1)).cast("decimal(20,0)")).alias("s2"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    one = same.where("r0 <> r1").dropDuplicates(["g", "s1", "s2"]).select("key")
+    among = out.join(one, "key").select(F.concat(F.lit("k"), "key").alias("cell"), "x", "root")
+    side = lambda df, n: df.select("cell", F.lit(n).alias("side"), "x", "root")
+    cells = written(side(to_main, 0).unionByName(side(all_of, 1)).unionByName(side(among, 0)).unionByName(side(among, 1)), "cells")
+    drop_written(rows, out)
+    return cells
+
+
+def across(rows: DataFrame, classes: DataFrame, parts: int, lo: int, hi: int) -> DataFrame:
+    """Pairs (a, b) of the two sides of each cell, in different components, that sketches don't rule out.
+
+    Each class's candidates in a block are ranked by how close their sketches are;
+    those of ranks lo to hi come out, and a row without b says that there are more.
     """
-    with_pivot = links.select("a", "b").distinct().withColumn("linked", F.lit(True))
-    hot = checked.where("hot").select("a", "b").distinct().join(with_pivot, ["a", "b"], "left")
-    hot = hot.select("a", F.col("b").alias("x"), F.coalesce("linked", F.lit(False)).alias("linked")).join(classes.select(F.col("cls").alias("x"), "n", "sketch"), "x")
-    failing = hot.groupBy("a").agg(F.count_if(~F.col("linked")).alias("nf"), F.count(F.lit(1)).alias("nu")).where("nf > 0 and nu > 1")
-    rows = hot.join(failing, "a").join(labels.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    nf, nu = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("nf", "nu"))
-    cell = F.xxhash64("x", "a")
-    common = ["a", "x", "n", "sketch", "root"]
-    fail = rows.where("not linked").select(*common, F.lit(0).alias("side"), F.pmod(cell, nf).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), nu - 1)).alias("j"))
-    every = rows.select(*common, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), nf - 1)).alias("i"), F.pmod(cell, nu).cast("int").alias("j"))
-    cells = fail.unionByName(every).repartition(parts, "a", "i", "j").sortWithinPartitions("a", "i", "j", "side")
+    sized = rows.groupBy("cell").agg(F.ceil(F.count_if(F.col("side") == 0) / BLOCK).cast("int").alias("n0"), F.ceil(F.count_if(F.col("side") == 1) / BLOCK).cast("int").alias("n1"))
+    rows = rows.join(sized, "cell").join(classes.select(F.col("cls").alias("x"), "n", "sketch"), "x")
+    place = F.xxhash64("x", "cell")
+    mine, other = F.pmod(place, F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
+    few, common = F.col("n0") + F.col("n1") == 2, ["cell", "side", "x", "n", "sketch", "root"]
+    grid = rows.where(~few).withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), other - 1))})
+    grid = grid.select(*common, *(F.when((F.col("side") == 0) == first, F.col("mine")).otherwise(F.col("other")).cast("int").alias(c) for c, first in (("i", F.lit(True)), ("j", F.lit(False)))))
+    cells = rows.where(few).select(*common, F.lit(0).alias("i"), F.lit(0).alias("j")).unionByName(grid)
+    cells = cells.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
 
     def cross(fs: list[tuple], us: list[tuple]) -> pa.RecordBatch:
         by_width: dict[int, list[tuple]] = {}
         for u in us:
             by_width.setdefault(len(u[2]) // 8, []).append(u)
         packed = {}
-        for width, rows in by_width.items():
-            marks = np.frombuffer(b"".join(u[2] for u in rows), np.uint64).reshape(len(rows), width)
-            packed[width] = (np.array([u[0] for u in rows]), np.array([u[1] for u in rows], np.int64), marks, np.array([u[3] for u in rows]))
+        for width, some in by_width.items():
+            marks = np.frombuffer(b"".join(u[2] for u in some), np.uint64).reshape(len(some), width)
+            packed[width] = (np.array([u[0] for u in some]), np.array([u[1] for u in some], np.int64), marks, np.array([u[3] for u in some]))
         out = set()
         for x, n, mark, root in fs:
-            mine = np.frombuffer(mark, np.uint64)
-            gaps, names, roots = [], [], []
+            own = np.frombuffer(mark, np.uint64)
+            gaps, names = [], []
             for width, (ux, un, um, ur) in packed.items():
-                look = np.flatnonzero(4 * np.minimum(n, un) >= 3 * np.maximum(n, un))
+                look = np.flatnonzero((4 * np.minimum(n, un) >= 3 * np.maximum(n, un)) & (ur != root))
                 if len(look):
-                    least = min(width, len(mine))
-                    gap = np.bitwise_count(fold(um[look], least) ^ fold(mine, least)).sum(axis=1)
+                    least = min(width, len(own))
+                    gap = np.bitwise_count(fold(um[look], least) ^ fold(own, least)).sum(axis=1)
                     use = gap <= (n + un[look]) // 7
                     gaps.append(gap[use].astype(np.int64))
                     names.append(ux[look[use]])
-                    roots.append(ur[look[use]])
             if gaps:
-                name, other = np.concatenate(names), np.concatenate(roots) != root
-                order = np.lexsort((name, np.concatenate(gaps)))
-                name, other = name[order], other[order]
-                out |= {(min(x, y), max(x, y)) for y in name[lo:hi][other[lo:hi]].tolist()}
-                if other[hi:].any():
+                name = np.concatenate(names)
+                name = name[np.lexsort((name, np.concatenate(gaps)))]
+                out |= {(min(x, y), max(x, y)) for y in name[lo:hi].tolist()}
+                if len(name) > hi:
                     out.add((x, None))
         pairs = list(out)
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def scan(batches):
-        key, held = None, ([], [])
+        at, held = None, ([], [])
         for batch in batches:
-            for a, x, n, mark, root, side, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (a, i, j) != key:
+            for cell, side, x, n, mark, root, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cell, i, j) != at:
                     if held[0] and held[1]:
                         yield cross(*held)
-                    key, held = (a, i, j), ([], [])
+                    at, held = (cell, i, j), ([], [])
                 held[side].append((x, n, mark, root))
         if held[0] and held[1]:
             yield cross(*held)
 
-    return cells.select(*common, "side", "i", "j").mapInArrow(scan, "a bigint, b bigint").distinct()
+    return cells.mapInArrow(scan, "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -475,9 +573,10 @@ def join(docs: DataFrame) -> DataFrame:
 def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The links among pairs; sets are made anew from the texts of their classes alone."""
     members = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = written(class_sets(rows, classes.select("cls", "rep").join(members, "cls", "left_semi")), "sets")
+    named = written(classes.select("cls", "row").join(members, "cls", "left_semi").select(F.col("cls").alias("want"), "row"), "wanted")
+    sets = written(class_sets(rows, named), "sets")
     out = written(verify(pairs, sets), "verified")
-    drop_written(sets)
+    drop_written(named, sets)
     return out
 
 
@@ -485,26 +584,27 @@ def _join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     named = written(doc_classes(rows), "classes")
-    classes = written(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "reps")
-    band = (F.floor(F.log("n") / math.log(4 / 3) * 4)).cast("int")  # finer than the bands, and few
-    counts = classes.groupBy(band.alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.sum("n").alias("total")).collect()
-    sizes: dict[int, int] = {}
-    for r in counts:
-        at = int(np.searchsorted(EDGES, r.n, "right")) - 1
-        sizes[at] = sizes.get(at, 0) + r.k
-    total = sum(r.total for r in counts)
-    deletion = plans(sizes)
-    buckets = max(parts, int(0.65 * total) // BUCKET_KEYS + 1)
-    pairs = written(candidates(index_blocks(rows, deletion, buckets), parts, sum(sizes.values())), "pairs")
-    checked = written(sift(pairs, classes), "sifted")
-    drop_written(pairs)
-    links = written(_linked(rows, classes, checked.where("near").select("a", "b", "salt").distinct()), "links")
+    classes = named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.max("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
+    classes = written(classes, "reps")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    deletion = plans(rows, total)
+    met = written(candidates(index_blocks(rows, deletion, max(parts, total // BUCKET_KEYS + 1)), parts, deletion), "met")
+    pairs = met.where("not hot").select("a", F.explode("others").alias("b"))
+    hot = met.where("hot").select(F.col("a").alias("key"), "need", F.explode("others").alias("cls")).distinct()
+    inc = written(dominated(hot), "dominated")
+    near = written(sift(pairs.unionByName(pivots(inc)).distinct(), classes), "sifted")
+    drop_written(met)
+    links = _linked(rows, classes, near)
     labels = components(links)
+    drop_written(near, links)
     lo, hi = 0, NEXT
     while True:
-        found = written(_across(checked, links, classes, labels, parts, lo, hi), "across")
-        more = found.where("b is not null").select("a", "b", F.lit(0).alias("salt"))
+        cells = compared(inc, labels)
+        found = written(across(cells, classes, parts, lo, hi), "across")
+        drop_written(cells)
+        more = found.where("b is not null")
         if not more.isEmpty():
             late = _linked(rows, classes, more)
             old, labels = labels, components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
@@ -514,9 +614,10 @@ def _join(docs: DataFrame) -> DataFrame:
         if done:
             break
         lo, hi = hi, hi * MORE
-    drop_written(checked, links)
+    drop_written(inc)
     rooted = classes.select("cls", "rep").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = written(rooted.join(least, "root").select("cls", "component_id"), "placed")
+    drop_written(classes, labels)
     out = named.join(placed, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -137,7 +137,7 @@ def test_jaccard_join(docs, rows, small, wide, monkeypatch):
 
     monkeypatch.setattr(jaccard, "SMALL", small)
     if wide:
-        monkeypatch.setattr(jaccard, "plans", lambda sizes: {b + d: True for b in sizes for d in (0, 1)})
+        monkeypatch.setattr(jaccard, "plans", lambda *_: dict.fromkeys(range(60), True))
     got = Counter(tuple(r) for r in jaccard.join(docs).collect())
     assert got == brute_components(rows)
 
@@ -161,9 +161,56 @@ def test_jaccard_keys_lose_no_link():
         if not len(other) or 100 * common < 75 * (len(base) + len(other) - common) or np.array_equal(base, other):
             continue
         for plan in ({}, dict.fromkeys(range(60), True)):
-            a, b = (set(np.concatenate([*jaccard.keys_of(s, plan), np.zeros(0, np.uint64)]).tolist()) for s in (base, other))
-            assert a & b, trial
-        assert jaccard.may_link(len(base), np.frombuffer(jaccard.sketch(base), np.uint64), len(other), np.frombuffer(jaccard.sketch(other), np.uint64))
+            a, b = ({(level, k) for level, keys in jaccard.keys_of(s, plan) for k in keys.tolist()} for s in (base, other))
+            level = int(np.searchsorted(jaccard.EDGES, max(len(base), len(other)), "right")) - 1
+            need = jaccard.layout(level, plan.get(level, False))[1]
+            assert sum(x == level for x, _ in a & b) >= need, trial
+            assert jaccard.may_link(len(base), np.frombuffer(jaccard.sketch(base), np.uint64), len(other), np.frombuffer(jaccard.sketch(other), np.uint64))
+            for s, keys in ((base, a), (other, b)):  # and each key tells what is needed
+                short = np.array([k >> 16 for x, k in keys if x == level], np.uint64)
+                assert set(jaccard._needs(short, np.full(len(short), len(s)), plan).tolist()) == {need}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("flush", [1 << 20, 200])
+def test_jaccard_join_of_hot_groups(spark, wide, flush, monkeypatch):
+    """Groups of near copies, texts that share most of a passage without being linked, and chains, all under one hot key."""
+    from boxwright.llm import jaccard
+
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    passage, base, texts = [word() for _ in range(60)], [word() for _ in range(80)], []
+    texts += [" ".join([word() for _ in range(rng.randrange(8, 34))] + passage) for _ in range(60)]
+    for k in range(60):
+        copy = base[:]
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(80)] = word()
+        texts.append(" ".join(copy + passage[: rng.randrange(0, 12)]))
+    chain = [word() for _ in range(70)]
+    for k in range(40):  # each linked with the next ones only
+        chain = chain[2:] + [word(), word()]
+        texts.append(" ".join(chain))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "NEXT", 2)
+    monkeypatch.setattr(jaccard, "FLUSH_KEYS", flush)
+    monkeypatch.setattr(jaccard, "SLICE_KEYS", 300)
+    monkeypatch.setattr(jaccard, "plans", lambda *_: dict.fromkeys(range(60), wide))
+    got = Counter(tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == brute_components(rows)
+
+
+def test_jaccard_plans_follow_counts(spark, monkeypatch):
+    """Sets of few common words meet by chance under narrow segments, so the level takes wide ones; sets of rare words don't."""
+    from boxwright.llm import jaccard
+
+    rng = random.Random(3)
+    common = spark.createDataFrame([(" ".join(rng.choice(["a", "b"]) for _ in range(26)),) for _ in range(400)], "text string")
+    rare = spark.createDataFrame([(" ".join(f"w{rng.randrange(10**9)}" for _ in range(26)),) for _ in range(400)], "text string")
+    assert any(jaccard.plans(common, 1).values()) and not any(jaccard.plans(rare, 1).values())
+
+
 
 
 def test_token_store(spark, docs, rows, empty):
