@@ -20,20 +20,22 @@ counted on a bounded sample of the sets: entries grow with the number of sets, c
 candidates with its square.
 
 Equal sets are one class.  Keys travel as sorted blocks (bucket, keys, classes), not
-as rows.  Classes of a key that has ``SMALL`` at most are paired directly.  Other keys
-are *hot*; a pair that shares a key that isn't hot needs none of them, and a pair that
-doesn't shares ``need`` hot keys.  So only classes with as many hot keys at a level
-matter to them (passages that many texts share give few), and of those keys all but
-the need - 1 in the largest groups suffice (a prefix in one global order).
-
-Each class left is first compared with one pivot, the smallest class of its largest
-group: dense groups fall into components.  Then, of each key, members outside the
-component that most of its members are in are compared with that component and among
-themselves, in blocks, by parity sketches whose Hamming distance never exceeds the
-sets' difference, so that filter loses nothing.  What passes is verified in rounds,
-the closest first; pairs inside a component need no verifying.  Every candidate is
-verified on the whole sets.  So no link between components is lost, though links
-inside one need not be listed.
+as rows.  Classes of a key that has ``SMALL`` at most are paired directly, with a count
+of the keys that each pair shares.  Other keys are *hot*; a pair that shares a key that
+isn't hot needs none of them, and a pair that doesn't shares ``need`` hot keys.  So only
+classes with as many hot keys at a level matter to them (passages that many texts share
+give few), and of those keys all but the need - 1 in the largest groups suffice (a
+prefix in one global order).
+
+Groups of hot keys are first joined by trees: in its two largest groups each class is
+paired with the closest one of another tree.  After that only members in different
+components matter: of a key with ``MEDIUM`` classes at most they are paired; of a larger
+one members outside the component that most are in are compared with that component
+and among themselves, in blocks.  Closeness is told by parity sketches, whose Hamming
+distance never exceeds the sets' difference, so that filter loses nothing.  What passes
+is verified in rounds, the closest first; pairs inside a component need no verifying.
+Every candidate is verified on the whole sets.  So no link between components is lost,
+though links inside one need not be listed.
 
 Shingles are 64-bit fingerprints, and so are classes (with the set's size).
 
@@ -47,6 +49,7 @@ holds some 60 bytes a word of the longest text.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -62,7 +65,9 @@ from .components import components
 WIDTH = 5
 #: Classes of a key that are paired directly, and how many keys more are indexed than one shared key would take.
 SMALL = 8
-EXTRA = 0.3
+EXTRA = 0.2
+#: Members of a hot key that are paired where they lie in different components.
+MEDIUM = 64
 #: Keys of a bucket, of a slice of it that is grouped at once, and those that a task gathers before it gives them out.
 BUCKET_KEYS = 4 << 20
 SLICE_KEYS = 512 << 10
@@ -158,7 +163,7 @@ def _doc_sets(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple
 
 
 def plans(rows: DataFrame, total: int) -> dict[int, bool]:
-    """For each level whether it uses one-deletion neighbourhoods, by what a sample of some SAMPLED of all total shingles counts for both."""
+    """For each level whether it uses one-deletion neighbourhoods, by the entries and the pairs sharing enough keys that a sample of some SAMPLED of all total shingles has under both."""
     one_in = max(1, total // SAMPLED)
 
     def scan(batches):
@@ -177,8 +182,9 @@ def plans(rows: DataFrame, total: int) -> dict[int, bool]:
     met = met.groupBy("level", "wide").agg(F.sum("n").alias("entries"), F.collect_list(F.when(F.col("n").between(2, SMALL), F.col("classes"))).alias("groups")).collect()
     cost: dict[tuple[int, bool], float] = {}
     for r in met:
-        pairs = {p for g in r.groups for p in combinations(g, 2)}
-        cost[r.level, r.wide] = r.entries * one_in + VERIFY * len(pairs) * one_in**2
+        pairs = Counter(p for g in r.groups for p in combinations(g, 2))
+        need = layout(r.level, r.wide)[1]
+        cost[r.level, r.wide] = r.entries * one_in + VERIFY * sum(n >= need for n in pairs.values()) * one_in**2
     return {level: cost[level, True] < cost[level, False] for level, wide in cost if wide}
 
 
@@ -217,16 +223,19 @@ def doc_classes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "row bigint, doc_id bigint, n_shingles bigint, cls bigint, sketch binary")
 
 
-def sift(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches don't rule out."""
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"m_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "m_a", "n_b", "m_b")
+def sift(pairs: DataFrame, classes: DataFrame, deletion: dict[int, bool]) -> DataFrame:
+    """The pairs (a, b) that sizes, sketches and the number c of shared keys that aren't hot don't rule out (a null c: not counted)."""
+    side = lambda c: classes.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "sketch", "hot")))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "c", "n_a", "sketch_a", "hot_a", "n_b", "sketch_b", "hot_b")
 
     def check(batches):
         for batch in batches:
-            n, m = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            a, b, c, n, _, hot, m, _, hot_m = (x.to_pylist() if i not in (4, 7) else None for i, x in enumerate(batch.columns))
             marks = lambda i, k, batch=batch: np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64)
-            near = pa.array([may_link(n[i], marks(i, 3), m[i], marks(i, 5)) for i in range(batch.num_rows)], pa.bool_())
+            level = np.searchsorted(EDGES, np.maximum(n, m), "right") - 1
+            of = {k: layout(k, deletion.get(k, False))[1] for k in np.unique(level).tolist()}
+            enough = [c[i] is None or c[i] + min(hot[i][k % 2], hot_m[i][k % 2]) >= of[k] for i, k in enumerate(level.tolist())]
+            near = pa.array([enough[i] and may_link(n[i], marks(i, 4), m[i], marks(i, 7)) for i in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
     return both.mapInArrow(check, "a bigint, b bigint")
@@ -311,10 +320,15 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(values)))
 
 
-def _needs(short: np.ndarray, sizes: np.ndarray, deletion: dict[int, bool]) -> np.ndarray:
-    """The keys that linked sets share at the level of each key, which one of its sets' size and the key's parity tell."""
+def _levels(short: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The level of each key, which one of its sets' size and the key's parity tell."""
     band = np.searchsorted(EDGES, sizes, "right") - 1
-    level = band + ((band ^ (short & np.uint64(1)).astype(np.int64)) & 1)
+    return band + ((band ^ (short & np.uint64(1)).astype(np.int64)) & 1)
+
+
+def _needs(short: np.ndarray, sizes: np.ndarray, deletion: dict[int, bool]) -> np.ndarray:
+    """The keys that linked sets share at the level of each key."""
+    level = _levels(short, sizes)
     of = {k: layout(k, deletion.get(k, False))[1] for k in np.unique(level).tolist()}
     return np.array([of[k] for k in level.tolist()], "<i4")
 
@@ -362,7 +376,7 @@ def _groups(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[n
 
 
 def candidates(blocks: DataFrame, parts: int, deletion: dict[int, bool]) -> DataFrame:
-    """(hot, a, need, others): pairs as a class and partners; members of a hot key as the key, what linked sets share at its level, and classes."""
+    """(hot, a, need, others, shared): pairs as a class, its partners and the keys shared with each; members of a hot key as the key, what linked sets share at its level, and classes."""
 
     def meet(batches):
         bucket, held = None, []
@@ -370,7 +384,7 @@ def candidates(blocks: DataFrame, parts: int, deletion: dict[int, bool]) -> Data
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] < 0:
                     keys, counts, members, need = (np.frombuffer(x, t) for x, t in zip(row[1:], ("<i8", "<i4", "<i8", "<i4"), strict=True))
-                    yield from listed(True, keys, need, counts, members)
+                    yield from listed(True, keys, need, counts, members, None)
                     continue
                 if row[0] != bucket and held:
                     yield from settle(held)
@@ -380,18 +394,21 @@ def candidates(blocks: DataFrame, parts: int, deletion: dict[int, bool]) -> Data
         if held:
             yield from settle(held)
 
-    def listed(hot, a, need, counts, others):
+    def listed(hot, a, need, counts, others, shared):
         ends = np.cumsum(counts)
         at = 0
         while at < len(a):  # batches of bounded length
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, "right")))
             lo, hi = int(ends[at - 1]) if at else 0, int(ends[to - 1])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends[at:to] - lo).astype(np.int32)), pa.array(others[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array([hot] * (to - at)), pa.array(a[at:to]), pa.array(need[at:to], pa.int32()), lists], names=["hot", "a", "need", "others"])
+            offsets = pa.array(np.append(0, ends[at:to] - lo).astype(np.int32))
+            partners = pa.ListArray.from_arrays(offsets, pa.array(others[lo:hi]))
+            times = pa.nulls(to - at, pa.list_(pa.int32())) if shared is None else pa.ListArray.from_arrays(offsets, pa.array(shared[lo:hi], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([hot] * (to - at)), pa.array(a[at:to]), pa.array(need[at:to], pa.int32()), partners, times], names=["hot", "a", "need", "others", "shared"])
             at = to
 
     def settle(held):
         who, size, groups = _groups(held)
+        band = np.searchsorted(EDGES, size, "right") - 1
         codes = []
         for key, cls in groups:
             start, count = _runs(key)
@@ -399,21 +416,22 @@ def candidates(blocks: DataFrame, parts: int, deletion: dict[int, bool]) -> Data
                 rows = start[count == g]
                 if len(rows):
                     members = cls[rows[:, None] + np.arange(g)]
+                    level = _levels(key[rows], size[members[:, 0]])
                     i, j = np.triu_indices(g, 1)
                     a, b = members[:, i].reshape(-1), members[:, j].reshape(-1)
-                    ok = _near(size, a, b)
-                    codes.append(np.unique(a[ok].astype(np.int64) * len(who) + b[ok]))
+                    ok = _near(size, a, b) & (np.maximum(band[a], band[b]) == np.repeat(level, len(i)))
+                    codes.append(a[ok].astype(np.int64) * len(who) + b[ok])
             big = np.flatnonzero(count > SMALL)
             if len(big):
                 inside = np.repeat(count > SMALL, count)
-                yield from listed(True, key[start[big]].view(np.int64), _needs(key[start[big]], size[cls[start[big]]], deletion), count[big], who[cls[inside]])
-        code = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]))
+                yield from listed(True, key[start[big]].view(np.int64), _needs(key[start[big]], size[cls[start[big]]], deletion), count[big], who[cls[inside]], None)
+        code, shared = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]), return_counts=True)
         if len(code):
             a, b = who[code // len(who)], who[code % len(who)]
             start, count = _runs(a)
-            yield from listed(False, a[start], np.zeros(len(start), np.int32), count, b)
+            yield from listed(False, a[start], np.zeros(len(start), np.int32), count, b, shared)
 
-    return blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "hot boolean, a bigint, need int, others array<bigint>")
+    return blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "hot boolean, a bigint, need int, others array<bigint>, shared array<int>")
 
 
 def dominated(hot: DataFrame) -> DataFrame:
@@ -427,10 +445,55 @@ def dominated(hot: DataFrame) -> DataFrame:
     return ranked.where("h >= need and r <= h - need + 1").select("key", "cls")
 
 
-def pivots(inc: DataFrame) -> DataFrame:
-    """(a, b): of each class b the smallest class of its largest group."""
-    groups = inc.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("cls").alias("a")).where("g > 1")
-    return inc.join(groups, "key").where("a <> cls").groupBy(F.col("cls").alias("b")).agg(F.max_by("a", F.struct("g", "a")).alias("a")).select("a", "b")
+def largest(inc: DataFrame, most: int = 2) -> DataFrame:
+    """(cell, side, x, root): the memberships (key, cls) of each class in its largest groups, as cells in which every class is its own component."""
+    groups = inc.groupBy("key").agg(F.count(F.lit(1)).alias("g"))
+    mine = Window.partitionBy("cls").orderBy(F.desc("g"), "key")  # as many rows as a set has keys
+    rows = inc.join(groups, "key").withColumn("r", F.row_number().over(mine)).where(F.col("r") <= most)
+    return rows.select(F.concat(F.lit("k"), "key").alias("cell"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.col("cls").alias("x"), F.col("cls").alias("root"))
+
+
+def rooted(inc: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, x, root, g), written: the memberships of keys whose members lie in several components, with those components and the number of members."""
+    roots = labels.select(F.col("node").alias("cls"), "root")
+    rows = inc.join(roots, "cls", "left").select("key", F.col("cls").alias("x"), F.coalesce("root", "cls").alias("root"))
+    split = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "g")
+    return written(rows.join(split, "key"), "rooted")
+
+
+def medium_pairs(rows: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) of members in different components, of keys with MEDIUM members at most."""
+    lists = rows.where(F.col("g") <= MEDIUM).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("x", "root"))).alias("members"))  # MEDIUM
+    lists = lists.select(F.col("members.x").alias("x"), F.col("members.root").alias("root"))
+    near = lists.repartition(parts, F.col("x")[0]).sortWithinPartitions("x")  # like groups lie together, so their pairs are met once
+
+    def unique(held):
+        pairs = np.concatenate(held)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order]
+        return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
+
+    def pair(batches):
+        held, size = [], 0
+        for batch in batches:
+            for x, root in zip(batch.column(0), batch.column(1), strict=True):
+                x, root = x.values.to_numpy(), root.values.to_numpy()
+                i, j = np.triu_indices(len(x), 1)
+                ok = root[i] != root[j]
+                held.append(np.stack([x[i[ok]], x[j[ok]]], axis=1))
+                size += len(held[-1])
+                if size > 1_000_000:
+                    held = [unique(held)]
+                    size = 0
+                    if len(held[0]) > 500_000:
+                        yield out(held.pop())
+        if held and sum(map(len, held)):
+            yield out(unique(held))
+
+    def out(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    return near.mapInArrow(pair, "a bigint, b bigint").distinct()
 
 
 def class_sets(docs: DataFrame, named: DataFrame) -> DataFrame:
@@ -480,35 +543,35 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def compared(inc: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cell, side, x, root), written: what must be compared across components.
+def compared(rows: DataFrame) -> DataFrame:
+    """(cell, side, x, root), written: what must be compared across components, of keys with more than MEDIUM members.
 
     Of each key the component of most members is its main one.  A member outside it
     meets all of that component (a cell a component, whatever keys brought it there),
     and the other members outside it (a cell a key; of keys with the same such members
     one stays).
     """
-    roots = labels.select(F.col("node").alias("cls"), "root")
-    rows = written(inc.join(roots, "cls", "left").select("key", F.col("cls").alias("x"), F.coalesce("root", "cls").alias("root")), "rooted")
-    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main")
+    rows = rows.where(F.col("g") > MEDIUM)
+    main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     out = written(rows.join(main, "key").where("root <> main"), "outside")
     to_main = out.select(F.concat(F.lit("c"), "main").alias("cell"), "x", "root", "main").distinct()
     all_of = rows.select("x", "root").distinct().join(to_main.select(F.col("main").alias("root"), "cell").distinct(), "root")
-    same = out.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("x", F.lit(1)).cast("decimal(20,0)")).alias("s2"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    one = same.where("r0 <> r1").dropDuplicates(["g", "s1", "s2"]).select("key")
+    same = out.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("x", F.lit(1)).cast("decimal(20,0)")).alias("s2"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    one = same.where("r0 <> r1").dropDuplicates(["k", "s1", "s2"]).select("key")
     among = out.join(one, "key").select(F.concat(F.lit("k"), "key").alias("cell"), "x", "root")
     side = lambda df, n: df.select("cell", F.lit(n).alias("side"), "x", "root")
     cells = written(side(to_main, 0).unionByName(side(all_of, 1)).unionByName(side(among, 0)).unionByName(side(among, 1)), "cells")
-    drop_written(rows, out)
+    drop_written(out)
     return cells
 
 
-def across(rows: DataFrame, classes: DataFrame, parts: int, lo: int, hi: int) -> DataFrame:
+def across(rows: DataFrame, classes: DataFrame, parts: int, lo: int, hi: int, trees: bool = False) -> DataFrame:
     """Pairs (a, b) of the two sides of each cell, in different components, that sketches don't rule out.
 
     Each class's candidates in a block are ranked by how close their sketches are;
     those of ranks lo to hi come out, and a row without b says that there are more.
+    With trees, each class is only paired with the closest one that the block's pairs
+    so far don't join it with.
     """
     sized = rows.groupBy("cell").agg(F.ceil(F.count_if(F.col("side") == 0) / BLOCK).cast("int").alias("n0"), F.ceil(F.count_if(F.col("side") == 1) / BLOCK).cast("int").alias("n1"))
     rows = rows.join(sized, "cell").join(classes.select(F.col("cls").alias("x"), "n", "sketch"), "x")
@@ -528,10 +591,17 @@ def across(rows: DataFrame, classes: DataFrame, parts: int, lo: int, hi: int) ->
         for width, some in by_width.items():
             marks = np.frombuffer(b"".join(u[2] for u in some), np.uint64).reshape(len(some), width)
             packed[width] = (np.array([u[0] for u in some]), np.array([u[1] for u in some], np.int64), marks, np.array([u[3] for u in some]))
-        out = set()
+        out, joined = set(), {}
+
+        def tree(root):
+            while root in joined:
+                root = joined[root]
+            return root
+
         for x, n, mark, root in fs:
             own = np.frombuffer(mark, np.uint64)
-            gaps, names = [], []
+            root = tree(root)
+            gaps, names, roots = [], [], []
             for width, (ux, un, um, ur) in packed.items():
                 look = np.flatnonzero((4 * np.minimum(n, un) >= 3 * np.maximum(n, un)) & (ur != root))
                 if len(look):
@@ -540,9 +610,18 @@ def across(rows: DataFrame, classes: DataFrame, parts: int, lo: int, hi: int) ->
                     use = gap <= (n + un[look]) // 7
                     gaps.append(gap[use].astype(np.int64))
                     names.append(ux[look[use]])
+                    roots.append(ur[look[use]])
             if gaps:
-                name = np.concatenate(names)
-                name = name[np.lexsort((name, np.concatenate(gaps)))]
+                name, found = np.concatenate(names), np.concatenate(roots)
+                order = np.lexsort((name, np.concatenate(gaps)))
+                name = name[order]
+                if trees and len(name):
+                    y, old = int(name[0]), found[order[0]]
+                    out.add((min(x, y), max(x, y)))
+                    joined[int(old)] = root
+                    for *_, ur in packed.values():
+                        ur[ur == old] = root
+                    continue
                 out |= {(min(x, y), max(x, y)) for y in name[lo:hi].tolist()}
                 if len(name) > hi:
                     out.add((x, None))
@@ -591,19 +670,26 @@ def _join(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 0
     deletion = plans(rows, total)
     met = written(candidates(index_blocks(rows, deletion, max(parts, total // BUCKET_KEYS + 1)), parts, deletion), "met")
-    pairs = met.where("not hot").select("a", F.explode("others").alias("b"))
-    hot = met.where("hot").select(F.col("a").alias("key"), "need", F.explode("others").alias("cls")).distinct()
+    hot = written(met.where("hot").select(F.col("a").alias("key"), "need", F.explode("others").alias("cls")).distinct(), "hot")
+    has = lambda odd: F.count_if(F.col("key") % 2 == odd).cast("int")
+    counts = hot.groupBy("cls").agg(F.array(has(0), has(1)).alias("hot"))
+    known = classes.join(counts, "cls", "left").withColumn("hot", F.coalesce("hot", F.array(F.lit(0), F.lit(0))))
+    pairs = met.where("not hot").select("a", F.explode(F.arrays_zip("others", "shared")).alias("p")).groupBy("a", F.col("p.others").alias("b")).agg(F.sum("p.shared").alias("c"))
     inc = written(dominated(hot), "dominated")
-    near = written(sift(pairs.unionByName(pivots(inc)).distinct(), classes), "sifted")
-    drop_written(met)
+    near = sift(pairs, known, deletion).unionByName(across(largest(inc), classes, parts, 0, 1, trees=True))
+    near = written(near.distinct(), "near")
     links = _linked(rows, classes, near)
     labels = components(links)
-    drop_written(near, links)
+    drop_written(met, hot, near, links)
     lo, hi = 0, NEXT
     while True:
-        cells = compared(inc, labels)
-        found = written(across(cells, classes, parts, lo, hi), "across")
-        drop_written(cells)
+        split = rooted(inc, labels)
+        cells = compared(split)
+        found = across(cells, classes, parts, lo, hi)
+        if not lo:
+            found = found.unionByName(sift(medium_pairs(split, parts).withColumn("c", F.lit(None).cast("bigint")), classes.withColumn("hot", F.array(F.lit(0), F.lit(0))), deletion))
+        found = written(found.distinct(), "across")
+        drop_written(split, cells)
         more = found.where("b is not null")
         if not more.isEmpty():
             late = _linked(rows, classes, more)
@@ -615,9 +701,9 @@ def _join(docs: DataFrame) -> DataFrame:
             break
         lo, hi = hi, hi * MORE
     drop_written(inc)
-    rooted = classes.select("cls", "rep").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    placed = written(rooted.join(least, "root").select("cls", "component_id"), "placed")
+    of = classes.select("cls", "rep").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
+    placed = written(of.join(least, "root").select("cls", "component_id"), "placed")
     drop_written(classes, labels)
     out = named.join(placed, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -172,8 +172,8 @@ def test_jaccard_keys_lose_no_link():
 
 
 @pytest.mark.parametrize("wide", [False, True])
-@pytest.mark.parametrize("flush", [1 << 20, 200])
-def test_jaccard_join_of_hot_groups(spark, wide, flush, monkeypatch):
+@pytest.mark.parametrize(("flush", "medium"), [(1 << 20, 64), (200, 3)])
+def test_jaccard_join_of_hot_groups(spark, wide, flush, medium, monkeypatch):
     """Groups of near copies, texts that share most of a passage without being linked, and chains, all under one hot key."""
     from boxwright.llm import jaccard
 
@@ -192,6 +192,7 @@ def test_jaccard_join_of_hot_groups(spark, wide, flush, monkeypatch):
         texts.append(" ".join(chain))
     rows = [(i, t) for i, t in enumerate(texts)]
     monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "MEDIUM", medium)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     monkeypatch.setattr(jaccard, "NEXT", 2)
     monkeypatch.setattr(jaccard, "FLUSH_KEYS", flush)
@@ -202,15 +203,31 @@ def test_jaccard_join_of_hot_groups(spark, wide, flush, monkeypatch):
 
 
 def test_jaccard_plans_follow_counts(spark, monkeypatch):
-    """Sets of few common words meet by chance under narrow segments, so the level takes wide ones; sets of rare words don't."""
-    from boxwright.llm import jaccard
-
-    rng = random.Random(3)
-    common = spark.createDataFrame([(" ".join(rng.choice(["a", "b"]) for _ in range(26)),) for _ in range(400)], "text string")
-    rare = spark.createDataFrame([(" ".join(f"w{rng.randrange(10**9)}" for _ in range(26)),) for _ in range(400)], "text string")
-    assert any(jaccard.plans(common, 1).values()) and not any(jaccard.plans(rare, 1).values())
+    """The plan of each level is the one of fewer entries and candidates, counted here by brute force."""
+    from itertools import combinations
 
+    import pyarrow as pa
+    from boxwright.llm import jaccard, textscan
 
+    rng, seen = random.Random(3), set()
+    for letters, words, weigh in (("ab", 13, 1e3), ("abc", 12, 50.0), ("ab", 9, 50.0), ("abcdefgh", 40, 50.0)):
+        texts = [" ".join(rng.choice(letters) for _ in range(rng.randrange(5, words))) for _ in range(60)]
+        monkeypatch.setattr(jaccard, "VERIFY", weigh)
+        sets = list(textscan.shingle_sets(textscan.scan(pa.array(sorted(set(texts))), textscan.space_separated()), 5))
+        sets = list({s.tobytes(): s for s in sets}.values())
+        cost = {}
+        for wide in (False, True):
+            keys = [dict(jaccard.keys_of(s, dict.fromkeys(range(60), wide))) for s in sets]
+            for level in {x for k in keys for x in k}:
+                mine = [set(k[level].tolist()) for k in keys if level in k]
+                count = Counter(x for k in mine for x in k)
+                small = [{x for x in k if count[x] <= jaccard.SMALL} for k in mine]
+                pairs = sum(len(a & b) >= jaccard.layout(level, wide)[1] for a, b in combinations(small, 2))
+                cost[level, wide] = sum(map(len, mine)) + weigh * pairs
+        want = {level: cost[level, True] < cost[level, False] for level, wide in cost if wide}
+        assert jaccard.plans(spark.createDataFrame([(t,) for t in texts], "text string"), 1) == want
+        seen |= set(want.values())
+    assert seen == {False, True}
 
 
 def test_token_store(spark, docs, rows, empty):
