@@ -543,24 +543,28 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def compared(rows: DataFrame) -> DataFrame:
+def compared(rows: DataFrame, open_: DataFrame | None) -> DataFrame:
     """(cell, side, x, root), written: what must be compared across components, of keys with more than MEDIUM members.
 
     Of each key the component of most members is its main one.  A member outside it
     meets all of that component (a cell a component, whatever keys brought it there),
-    and the other members outside it (a cell a key; of keys with the same such members
-    one stays).
+    and the other members outside it (a cell for all keys with the same smallest such
+    member, since groups that overlap mostly share it).  With open_ (x), only its
+    classes meet others.
     """
     rows = rows.where(F.col("g") > MEDIUM)
     main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    out = written(rows.join(main, "key").where("root <> main"), "outside")
+    out = rows.join(main, "key").where("root <> main")
+    first = out.groupBy("key").agg(F.min("x").alias("first"))
+    out = written(out.join(first, "key").select("first", "main", "x", "root").distinct(), "outside")
     to_main = out.select(F.concat(F.lit("c"), "main").alias("cell"), "x", "root", "main").distinct()
-    all_of = rows.select("x", "root").distinct().join(to_main.select(F.col("main").alias("root"), "cell").distinct(), "root")
-    same = out.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("x", F.lit(1)).cast("decimal(20,0)")).alias("s2"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    one = same.where("r0 <> r1").dropDuplicates(["k", "s1", "s2"]).select("key")
-    among = out.join(one, "key").select(F.concat(F.lit("k"), "key").alias("cell"), "x", "root")
+    among = out.select(F.concat(F.lit("k"), "first").alias("cell"), "x", "root").distinct()
+    mine = to_main if open_ is None else to_main.join(open_, "x", "left_semi")
+    some = among if open_ is None else among.join(open_, "x", "left_semi")
+    all_of = rows.select("x", "root").distinct().join(mine.select(F.col("main").alias("root"), "cell").distinct(), "root")
+    others = among if open_ is None else among.join(some.select("cell").distinct(), "cell", "left_semi")
     side = lambda df, n: df.select("cell", F.lit(n).alias("side"), "x", "root")
-    cells = written(side(to_main, 0).unionByName(side(all_of, 1)).unionByName(side(among, 0)).unionByName(side(among, 1)), "cells")
+    cells = written(side(mine, 0).unionByName(side(all_of, 1)).unionByName(side(some, 0)).unionByName(side(others, 1)), "cells")
     drop_written(out)
     return cells
 
@@ -681,10 +685,10 @@ def _join(docs: DataFrame) -> DataFrame:
     links = _linked(rows, classes, near)
     labels = components(links)
     drop_written(met, hot, near, links)
-    lo, hi = 0, NEXT
+    lo, hi, open_ = 0, NEXT, None
     while True:
         split = rooted(inc, labels)
-        cells = compared(split)
+        cells = compared(split, open_)
         found = across(cells, classes, parts, lo, hi)
         if not lo:
             found = found.unionByName(sift(medium_pairs(split, parts).withColumn("c", F.lit(None).cast("bigint")), classes.withColumn("hot", F.array(F.lit(0), F.lit(0))), deletion))
@@ -695,9 +699,11 @@ def _join(docs: DataFrame) -> DataFrame:
             late = _linked(rows, classes, more)
             old, labels = labels, components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
             drop_written(old, late)
-        done = found.where("b is null").isEmpty()
-        drop_written(found)
-        if done:
+        drop_written(getattr(open_, "_table", None))
+        open_ = found.where("b is null").select(F.col("a").alias("x"))
+        open_._table = found
+        if open_.isEmpty():
+            drop_written(found)
             break
         lo, hi = hi, hi * MORE
     drop_written(inc)

@@ -210,7 +210,7 @@ def test_jaccard_plans_follow_counts(spark, monkeypatch):
     from boxwright.llm import jaccard, textscan
 
     rng, seen = random.Random(3), set()
-    for letters, words, weigh in (("ab", 13, 1e3), ("abc", 12, 50.0), ("ab", 9, 50.0), ("abcdefgh", 40, 50.0)):
+    for letters, words, weigh in (("ab", 13, 1e6), ("abc", 12, 1e6), ("abc", 40, 1e6), ("abcdefgh", 40, 50.0)):
         texts = [" ".join(rng.choice(letters) for _ in range(rng.randrange(5, words))) for _ in range(60)]
         monkeypatch.setattr(jaccard, "VERIFY", weigh)
         sets = list(textscan.shingle_sets(textscan.scan(pa.array(sorted(set(texts))), textscan.space_separated()), 5))
