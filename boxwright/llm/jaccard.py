@@ -453,8 +453,10 @@ def largest(inc: DataFrame, most: int = 2) -> DataFrame:
     return rows.select(F.concat(F.lit("k"), "key").alias("cell"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.col("cls").alias("x"), F.col("cls").alias("root"))
 
 
-def rooted(inc: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, x, root, g), written: the memberships of keys whose members lie in several components, with those components and the number of members."""
+def rooted(inc: DataFrame, labels: DataFrame, open_: DataFrame | None) -> DataFrame:
+    """(key, x, root, g), written: the memberships of keys whose members lie in several components, with those components and the number of members; with open_ (x), of keys of its classes."""
+    if open_ is not None:
+        inc = inc.join(inc.join(open_.select(F.col("x").alias("cls")), "cls", "left_semi").select("key").distinct(), "key", "left_semi")
     roots = labels.select(F.col("node").alias("cls"), "root")
     rows = inc.join(roots, "cls", "left").select("key", F.col("cls").alias("x"), F.coalesce("root", "cls").alias("root"))
     split = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "g")
@@ -548,15 +550,14 @@ def compared(rows: DataFrame, open_: DataFrame | None) -> DataFrame:
 
     Of each key the component of most members is its main one.  A member outside it
     meets all of that component (a cell a component, whatever keys brought it there),
-    and the other members outside it (a cell for all keys with the same smallest such
+    and the other members outside it (a cell for all keys with the same smallest
     member, since groups that overlap mostly share it).  With open_ (x), only its
     classes meet others.
     """
     rows = rows.where(F.col("g") > MEDIUM)
-    main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    out = rows.join(main, "key").where("root <> main")
-    first = out.groupBy("key").agg(F.min("x").alias("first"))
-    out = written(out.join(first, "key").select("first", "main", "x", "root").distinct(), "outside")
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("first"))
+    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.min("first").alias("first"))
+    out = written(rows.join(main, "key").where("root <> main").select("first", "main", "x", "root").distinct(), "outside")
     to_main = out.select(F.concat(F.lit("c"), "main").alias("cell"), "x", "root", "main").distinct()
     among = out.select(F.concat(F.lit("k"), "first").alias("cell"), "x", "root").distinct()
     mine = to_main if open_ is None else to_main.join(open_, "x", "left_semi")
@@ -687,7 +688,7 @@ def _join(docs: DataFrame) -> DataFrame:
     drop_written(met, hot, near, links)
     lo, hi, open_ = 0, NEXT, None
     while True:
-        split = rooted(inc, labels)
+        split = rooted(inc, labels, open_)
         cells = compared(split, open_)
         found = across(cells, classes, parts, lo, hi)
         if not lo:
