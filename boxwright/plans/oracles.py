@@ -138,7 +138,7 @@ f2 AS (SELECT *, greatest(0.0, gx - w / 2) AS a, greatest(0.0, cy - h / 2) AS b,
 f3 AS (
   SELECT stem, line_no, line, CASE WHEN kind <> 1 AND (abs((a + c) / 2 - gx) > 1e-9 OR abs((b + d) / 2 - cy) > 1e-9 OR abs(c - a - w) > 1e-9 OR abs(d - b - h) > 1e-9)
     THEN printf('%s %.6f %.6f %.6f %.6f', CASE kind WHEN 2 THEN '0.0' WHEN 3 THEN '1' ELSE '0' END, (a + c) / 2, (b + d) / 2, c - a, d - b) ELSE line END AS fresh
-  FROM f2 WHERE image % 4 = 0
+  FROM f2
 )"""
 _QIOU = _IOU.replace("a.", "q.").replace("b.", "r.")
 
@@ -239,7 +239,7 @@ ORACLE_SQL = {
         UNION ALL
         SELECT source, frame_no, t FROM (SELECT e.source, e.frame_no, e.t, row_number() OVER (PARTITION BY e.source ORDER BY e.frame_no) AS r FROM taken k JOIN e ON e.source = k.source AND e.t - k.t >= 300) WHERE r = 1
       ) SELECT source, frame_no FROM taken""",
-    "srt1_review_order": f"WITH {FRAMES} SELECT video, idx, coalesce(CASE WHEN idx % 5 <> 0 THEN round(conf, 4) END, 99) AS score FROM frames ORDER BY score, video, idx LIMIT 100",
+    "srt1_review_order": f"WITH {FRAMES} SELECT video, idx, coalesce(CASE WHEN idx % 5 <> 0 THEN round(conf, 4) END, 99) AS score FROM frames ORDER BY score, video, idx",
     "agg19_hit_rate": f"WITH {FRAMES} SELECT round(avg((conf >= 0.05)::INT), 6) AS hit_rate, count(*) AS frames FROM frames",
     "snk5_frame_report": f"WITH {FILTERED} SELECT 'train' AS split, CAST(idx AS VARCHAR) AS filename, verdict, printf('%.3f', greatest(conf, 0)) AS yolo_conf, printf('%.2f', motion) AS motion_score, reason FROM filtered",
     "snk6_moves": f"WITH {FILTERED} SELECT 'train' AS prior, CASE WHEN verdict = 'keep' THEN 'train' ELSE verdict || '/train' END AS split, count(*) AS n FROM filtered GROUP BY ALL",
