@@ -430,21 +430,51 @@ def test_risky_feature_gets_a_cutoff_that_spares_good_documents(spark):
     assert kept[1] >= 0.98 and kept[0] == 0
 
 
+def brute_rake(have, budget, temper, rounds=400):
+    """Iterative proportional fitting with caps, cell by cell."""
+    total, want = sum(have.values()), {c: float(n) for c, n in have.items()}
+    for _ in range(rounds):
+        for d, t in enumerate(temper.values()):
+            by, now = Counter(), Counter()
+            for c, n in have.items():
+                by[c[d]] += n
+                now[c[d]] += want[c]
+            full = sum(n**t for n in by.values() if n)
+            want = {c: min(have[c], w * budget * total * by[c[d]] ** t / full / now[c[d]] if now[c[d]] else 0.0) for c, w in want.items()}
+    return want
+
+
+def test_raking_reports_what_is_infeasible(spark):
+    from boxwright.llm import mixing
+
+    cells = spark.createDataFrame([("a", "en", "x", 100), ("a", "de", "x", 100), ("b", "en", "x", 10), ("c", "en", "x", 0)], "source string, lang string, topic string, n bigint")
+    rows = {(r.dimension, r.value): r for r in mixing.marginals(mixing.rake(cells, 150.0, {"source": 0.0, "lang": 1.0, "topic": 1.0})).collect()}
+    assert rows["source", "b"].target == pytest.approx(75) and rows["source", "b"].attained == pytest.approx(10)  # no more is there
+    assert rows["source", "c"].attained == 0 and all(r.attained <= r.present + 1e-9 for r in rows.values())
+
+
+def test_mixing_in_many_tasks(docs, monkeypatch):
+    from boxwright.llm import mixing
+
+    one = Counter((r.doc_id, round(r.probability, 9), r.selected) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "MOST_CELLS", 0)
+    assert Counter((r.doc_id, round(r.probability, 9), r.selected) for r in mixing.mix(docs).collect()) == one
+
+
 def test_mixing(docs, rows, empty):
     from boxwright.llm.mixing import TEMPER, mix, sample
 
     got = mix(docs, budget=0.4).collect()
     assert len(got) == len(rows)
     assert all(0 <= r.probability <= 1 for r in got)
-    have, want = Counter(), Counter()
+    have, rates = Counter(), {}
     for r in got:
-        have[r.source] += r.n_tokens
-        want[r.source] += r.n_tokens * r.probability
-    total = sum(have.values())
-    share = {s: (n / total) ** TEMPER["source"] for s, n in have.items() if n}
-    full = sum(share.values())
-    for s in share:  # met, or held back by what there is
-        assert want[s] == pytest.approx(0.4 * total * share[s] / full, rel=0.1) or want[s] >= 0.8 * have[s]
+        cell = (r.source, r.lang, r.topic)
+        have[cell] += r.n_tokens
+        assert rates.setdefault(cell, r.probability) == r.probability
+    want = brute_rake(have, 0.4, TEMPER)
+    for cell, n in have.items():
+        assert rates[cell] == pytest.approx(want[cell] / n if n else 1.0, rel=0.01)
     kept = sample(docs, budget=0.4)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.selected)
