@@ -79,7 +79,7 @@ SKETCH = (512, 1 << 16)
 BATCH = 500
 #: Candidates of a class in the first round of comparisons across components, and how many times more the next rounds take: the first
 #: joins dense groups, so few pairs are left for the others, and each costs a scan.
-NEXT, MORE = 4, 64
+NEXT, MORE = 32, 64
 #: Parts of the partners of one class when sets are brought together.
 SALTS = 32
 #: Most bits of the filter that spares texts a shuffle; it has 16 a wanted text up to that, and none is used beyond 2 a text.
@@ -453,10 +453,8 @@ def largest(inc: DataFrame, most: int = 2) -> DataFrame:
     return rows.select(F.concat(F.lit("k"), "key").alias("cell"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.col("cls").alias("x"), F.col("cls").alias("root"))
 
 
-def rooted(inc: DataFrame, labels: DataFrame, open_: DataFrame | None) -> DataFrame:
-    """(key, x, root, g), written: the memberships of keys whose members lie in several components, with those components and the number of members; with open_ (x), of keys of its classes."""
-    if open_ is not None:
-        inc = inc.join(inc.join(open_.select(F.col("x").alias("cls")), "cls", "left_semi").select("key").distinct(), "key", "left_semi")
+def rooted(inc: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, x, root, g), written: the memberships of keys whose members lie in several components, with those components and the number of members."""
     roots = labels.select(F.col("node").alias("cls"), "root")
     rows = inc.join(roots, "cls", "left").select("key", F.col("cls").alias("x"), F.coalesce("root", "cls").alias("root"))
     split = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "g")
@@ -545,44 +543,50 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def compared(rows: DataFrame, open_: DataFrame | None) -> DataFrame:
+def compared(rows: DataFrame) -> DataFrame:
     """(cell, side, x, root), written: what must be compared across components, of keys with more than MEDIUM members.
 
     Of each key the component of most members is its main one.  A member outside it
     meets all of that component (a cell a component, whatever keys brought it there),
     and the other members outside it (a cell for all keys with the same smallest
-    member, since groups that overlap mostly share it).  With open_ (x), only its
-    classes meet others.
+    member, since groups that overlap mostly share it).
     """
     rows = rows.where(F.col("g") > MEDIUM)
     counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("first"))
     main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.min("first").alias("first"))
     out = written(rows.join(main, "key").where("root <> main").select("first", "main", "x", "root").distinct(), "outside")
     to_main = out.select(F.concat(F.lit("c"), "main").alias("cell"), "x", "root", "main").distinct()
+    all_of = rows.select("x", "root").distinct().join(to_main.select(F.col("main").alias("root"), "cell").distinct(), "root")
     among = out.select(F.concat(F.lit("k"), "first").alias("cell"), "x", "root").distinct()
-    mine = to_main if open_ is None else to_main.join(open_, "x", "left_semi")
-    some = among if open_ is None else among.join(open_, "x", "left_semi")
-    all_of = rows.select("x", "root").distinct().join(mine.select(F.col("main").alias("root"), "cell").distinct(), "root")
-    others = among if open_ is None else among.join(some.select("cell").distinct(), "cell", "left_semi")
     side = lambda df, n: df.select("cell", F.lit(n).alias("side"), "x", "root")
-    cells = written(side(mine, 0).unionByName(side(all_of, 1)).unionByName(side(some, 0)).unionByName(side(others, 1)), "cells")
+    cells = written(side(to_main, 0).unionByName(side(all_of, 1)).unionByName(side(among, 0)).unionByName(side(among, 1)), "cells")
     drop_written(out)
     return cells
 
 
+def still_open(cells: DataFrame, open_: DataFrame, labels: DataFrame) -> DataFrame:
+    """The cells of classes open_ (x), with the components that all members are in by now."""
+    firsts = cells.where("side = 0").join(open_, "x", "left_semi")
+    others = cells.where("side = 1").join(firsts.select("cell").distinct(), "cell", "left_semi")
+    return firsts.unionByName(others).join(labels.select(F.col("node").alias("x"), F.col("root").alias("now")), "x", "left").withColumn("now", F.coalesce("now", "x"))
+
+
 def across(rows: DataFrame, classes: DataFrame, parts: int, lo: int, hi: int, trees: bool = False) -> DataFrame:
     """Pairs (a, b) of the two sides of each cell, in different components, that sketches don't rule out.
 
-    Each class's candidates in a block are ranked by how close their sketches are;
-    those of ranks lo to hi come out, and a row without b says that there are more.
-    With trees, each class is only paired with the closest one that the block's pairs
-    so far don't join it with.
+    Each class's candidates in a block are ranked by how close their sketches are,
+    among all that were in another component (root) when the cells were made, so ranks
+    stay what they are; those of ranks lo to hi come out if they are in another one
+    (now) still, and a row without b says that there are more.  With trees, each class
+    is only paired with the closest one that the block's pairs so far don't join it with.
     """
+    if "now" not in rows.columns:
+        rows = rows.withColumn("now", F.col("root"))
     sized = rows.groupBy("cell").agg(F.ceil(F.count_if(F.col("side") == 0) / BLOCK).cast("int").alias("n0"), F.ceil(F.count_if(F.col("side") == 1) / BLOCK).cast("int").alias("n1"))
     rows = rows.join(sized, "cell").join(classes.select(F.col("cls").alias("x"), "n", "sketch"), "x")
     place = F.xxhash64("x", "cell")
     mine, other = F.pmod(place, F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
-    few, common = F.col("n0") + F.col("n1") == 2, ["cell", "side", "x", "n", "sketch", "root"]
+    few, common = F.col("n0") + F.col("n1") == 2, ["cell", "side", "x", "n", "sketch", "root", "now"]
     grid = rows.where(~few).withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), other - 1))})
     grid = grid.select(*common, *(F.when((F.col("side") == 0) == first, F.col("mine")).otherwise(F.col("other")).cast("int").alias(c) for c, first in (("i", F.lit(True)), ("j", F.lit(False)))))
     cells = rows.where(few).select(*common, F.lit(0).alias("i"), F.lit(0).alias("j")).unionByName(grid)
@@ -595,7 +599,7 @@ def across(rows: DataFrame, classes: DataFrame, parts: int, lo: int, hi: int, tr
         packed = {}
         for width, some in by_width.items():
             marks = np.frombuffer(b"".join(u[2] for u in some), np.uint64).reshape(len(some), width)
-            packed[width] = (np.array([u[0] for u in some]), np.array([u[1] for u in some], np.int64), marks, np.array([u[3] for u in some]))
+            packed[width] = (np.array([u[0] for u in some]), np.array([u[1] for u in some], np.int64), marks, np.array([u[3] for u in some]), np.array([u[4] for u in some]))
         out, joined = set(), {}
 
         def tree(root):
@@ -603,11 +607,11 @@ def across(rows: DataFrame, classes: DataFrame, parts: int, lo: int, hi: int, tr
                 root = joined[root]
             return root
 
-        for x, n, mark, root in fs:
+        for x, n, mark, root, now in fs:
             own = np.frombuffer(mark, np.uint64)
             root = tree(root)
             gaps, names, roots = [], [], []
-            for width, (ux, un, um, ur) in packed.items():
+            for width, (ux, un, um, ur, unow) in packed.items():
                 look = np.flatnonzero((4 * np.minimum(n, un) >= 3 * np.maximum(n, un)) & (ur != root))
                 if len(look):
                     least = min(width, len(own))
@@ -615,20 +619,20 @@ def across(rows: DataFrame, classes: DataFrame, parts: int, lo: int, hi: int, tr
                     use = gap <= (n + un[look]) // 7
                     gaps.append(gap[use].astype(np.int64))
                     names.append(ux[look[use]])
-                    roots.append(ur[look[use]])
+                    roots.append((ur if trees else unow)[look[use]])
             if gaps:
                 name, found = np.concatenate(names), np.concatenate(roots)
                 order = np.lexsort((name, np.concatenate(gaps)))
-                name = name[order]
+                name, other = name[order], found[order] != now
                 if trees and len(name):
                     y, old = int(name[0]), found[order[0]]
                     out.add((min(x, y), max(x, y)))
                     joined[int(old)] = root
-                    for *_, ur in packed.values():
+                    for _, _, _, ur, _ in packed.values():
                         ur[ur == old] = root
                     continue
-                out |= {(min(x, y), max(x, y)) for y in name[lo:hi].tolist()}
-                if len(name) > hi:
+                out |= {(min(x, y), max(x, y)) for y in name[lo:hi][other[lo:hi]].tolist()}
+                if other[hi:].any():
                     out.add((x, None))
         pairs = list(out)
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -636,12 +640,12 @@ def across(rows: DataFrame, classes: DataFrame, parts: int, lo: int, hi: int, tr
     def scan(batches):
         at, held = None, ([], [])
         for batch in batches:
-            for cell, side, x, n, mark, root, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cell, side, x, n, mark, root, now, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (cell, i, j) != at:
                     if held[0] and held[1]:
                         yield cross(*held)
                     at, held = (cell, i, j), ([], [])
-                held[side].append((x, n, mark, root))
+                held[side].append((x, n, mark, root, now))
         if held[0] and held[1]:
             yield cross(*held)
 
@@ -686,28 +690,25 @@ def _join(docs: DataFrame) -> DataFrame:
     links = _linked(rows, classes, near)
     labels = components(links)
     drop_written(met, hot, near, links)
-    lo, hi, open_ = 0, NEXT, None
+    split = rooted(inc, labels)
+    cells = compared(split)
+    pairs = medium_pairs(split, parts).withColumn("c", F.lit(None).cast("bigint"))
+    none = classes.withColumn("hot", F.array(F.lit(0), F.lit(0)))
+    lo, hi = 0, NEXT
+    found = written(across(cells, classes, parts, lo, hi).unionByName(sift(pairs, none, deletion)).distinct(), "across")
+    drop_written(inc, split)
     while True:
-        split = rooted(inc, labels, open_)
-        cells = compared(split, open_)
-        found = across(cells, classes, parts, lo, hi)
-        if not lo:
-            found = found.unionByName(sift(medium_pairs(split, parts).withColumn("c", F.lit(None).cast("bigint")), classes.withColumn("hot", F.array(F.lit(0), F.lit(0))), deletion))
-        found = written(found.distinct(), "across")
-        drop_written(split, cells)
-        more = found.where("b is not null")
+        more, open_ = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("x"))
         if not more.isEmpty():
             late = _linked(rows, classes, more)
             old, labels = labels, components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
             drop_written(old, late)
-        drop_written(getattr(open_, "_table", None))
-        open_ = found.where("b is null").select(F.col("a").alias("x"))
-        open_._table = found
         if open_.isEmpty():
-            drop_written(found)
             break
         lo, hi = hi, hi * MORE
-    drop_written(inc)
+        last, found = found, written(across(still_open(cells, open_, labels), classes, parts, lo, hi), "across")
+        drop_written(last)
+    drop_written(found, cells)
     of = classes.select("cls", "rep").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = written(of.join(least, "root").select("cls", "component_id"), "placed")

@@ -194,7 +194,8 @@ def test_jaccard_join_of_hot_groups(spark, wide, flush, medium, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 3)
     monkeypatch.setattr(jaccard, "MEDIUM", medium)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
-    monkeypatch.setattr(jaccard, "NEXT", 2)
+    monkeypatch.setattr(jaccard, "NEXT", 1)
+    monkeypatch.setattr(jaccard, "MORE", 2)
     monkeypatch.setattr(jaccard, "FLUSH_KEYS", flush)
     monkeypatch.setattr(jaccard, "SLICE_KEYS", 300)
     monkeypatch.setattr(jaccard, "plans", lambda *_: dict.fromkeys(range(60), wide))
