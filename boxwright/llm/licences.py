@@ -14,7 +14,7 @@ number of licences, wrapped over lines or side by side.
 
 The model is fitted on the driver from a bounded set: the family templates with
 deterministic variants, and at most ``NEGATIVES`` corpus lines that hold no
-template (those with the smallest hashes).  Its weights, ``FEATURES`` at most, are
+template and have ``MOST_CHARS`` characters at most (those with the smallest hashes).  Its weights, ``FEATURES`` at most, are
 joined by n-gram; only windows that hold a weighted n-gram go on.
 
 Defined results: a null, empty or wordless text has no licence; a licence that stands
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .native import let
 
-#: Bound of the negative sample and of the weights kept; probability that a family needs; template share that confirms.
+#: Bound of the negative sample, of the length of its lines and of the weights kept; probability that a family needs; template share that confirms.
 NEGATIVES = 2000
+MOST_CHARS = 4000
 FEATURES = 20_000
 SURE, CONFIRM = 0.7, 0.6
 #: Words of a window, which begin at every half of it: no template's span is longer than that half.
@@ -181,8 +183,8 @@ def train(docs: DataFrame) -> Model:
     marks = "(?i)licen[cs]e|copyright|rights reserved|public domain|creative commons|permission|redistribution|spdx"
     share = min(1.0, 4 * NEGATIVES / max(1, docs.count()))  # documents enough for the paragraphs wanted, at any size
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    lines = _lines(some).where(~F.col("line").rlike(marks)).select("line", F.xxhash64("line").alias("k"))
-    picked = lines.orderBy("k", "line").limit(NEGATIVES).select(F.lit(UNKNOWN).alias("family"), F.substr("line", F.lit(1), F.lit(4000)).alias("line"))
+    lines = _lines(some).where((F.length("line") <= MOST_CHARS) & ~F.col("line").rlike(marks)).select("line", F.xxhash64("line").alias("k"))
+    picked = lines.orderBy("k", "line").limit(NEGATIVES).select(F.lit(UNKNOWN).alias("family"), "line")
     variants = spark.range(1).select(
         F.inline(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(v).alias("line")) for f, ts in TEMPLATES.items() for t in ts for v in _variants(t))))
     )
@@ -243,11 +245,17 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     places = _places(spark)
     listed = json.dumps([{"gram": g, "w": model.weights[i].tolist(), "places": places.get(g, [])} for g, i in model.grams.items()])
     weights = spark.range(1).select(F.inline(F.from_json(F.lit(listed), f"array<struct<gram:string,w:array<double>,places:{_PLACES}>>")))
-    grams = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(n))))).otherwise(F.array().cast("array<string>"))
-    wd = F.col("wd")
-    held = _paragraphs(docs).select("doc_id", "h", "at", "wd", "ln", F.posexplode(F.concat(grams(wd, 2), grams(wd, 3))).alias("i", "gram")).join(F.broadcast(weights), "gram")  # FEATURES rows
-    three = F.col("i") >= F.size(wd) - 1
-    held = held.withColumn("pos", F.when(three, F.col("i") - F.size(wd) + 1).otherwise(F.col("i"))).withColumn("n", F.when(three, 3).otherwise(2))
+    wd, known = F.col("wd"), sorted({w for g in model.grams for w in g.split(" ")})
+
+    def grams(w: Column, usable: Column, n: int) -> Column:
+        """The n-grams of words that any n-gram with a weight has, with their places: others can't meet one."""
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - n), lambda i: reduce(lambda x, y: x & y, (F.get(usable, i + j) for j in range(n))))
+        made = F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.concat_ws(" ", *(F.get(w, i + j) for j in range(n))).alias("gram")))
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<struct<pos:int,n:int,gram:string>>"))
+
+    hits = let(wd, lambda w: let(F.transform(w, lambda x: x.isin(known)), lambda u: F.concat(grams(w, u, 2), grams(w, u, 3))))
+    held = _paragraphs(docs).select("doc_id", "h", "at", "wd", "ln", F.inline(hits))
+    held = held.join(F.broadcast(weights), "gram")  # FEATURES rows
     half = F.floor(F.col("pos") / (WINDOW // 2)).cast("int")
     held = held.withColumn("half", F.explode(F.when(half > 0, F.array(half - 1, half)).otherwise(F.array(half))))
     first = F.col("half") * (WINDOW // 2)
