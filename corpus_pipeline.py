@@ -3,6 +3,10 @@
 Every stage but the last returns the columns of its input; ``run`` writes each
 stage's rows to the shared folder and reads them again.  Nothing is swallowed: a
 stage that fails fails the run.
+
+In every stage an empty table gives an empty table, and columns beside those of
+``documents`` pass through; they may have any names but ``__k`` (and, in the first
+stage, those with the prefix it gives its input's columns).
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without an identifiable language."""
+    """Rejects documents without an identifiable language: null and letterless texts, and scores under LEAST_SCORE.  Null ids and languages do no harm; repeated rows are judged alike and all stay; ties go to the first language by name."""
     import public_tokenizers
 
     from boxwright.llm.langid import held_out, learn, predict
@@ -35,7 +39,7 @@ def identity(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies, that of the smallest id; a row without an id is kept only where its group has no id."""
+    """Keeps one row of each group of near copies, that of the smallest id (of equal ids, of the smallest fingerprint); a row without an id is kept only where its group has no id.  Of rows of one id and text one stays; texts without words are near to nothing."""
     from boxwright.llm.jaccard import join
 
     rows = written(identity(docs).dropDuplicates(["__k"]), "distinct")
@@ -46,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects contaminated rows, whatever their id."""
+    """Rejects contaminated rows, whatever their id; null and wordless texts and all rows where the benchmark is empty stay, and so do repeated rows that are clean."""
     from boxwright.llm.decontamination import decontaminate
 
     rows = identity(docs)
@@ -55,14 +59,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents to the target weights of sources, languages and topics."""
+    """Samples documents to the target weights of sources, languages and topics; a null source or language is a value of its own, and repeated rows are sampled alike."""
     from boxwright.llm.mixing import sample
 
     return sample(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token shards and reads them back."""
+    """Writes the token shards and reads them back: a row for each document, in ascending id order, nulls first; a null text has the end id alone."""
     import public_tokenizers
 
     from boxwright.llm.tokenstore import read_shards, write_shards
