@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sinks.shared import shared_dir
+
 
 def rmse(a: Column, b: Column) -> Column:
     squares = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
@@ -38,12 +40,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", vec: st
 def components(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """(key, cluster): the least key reachable over edges (a, b).  Labels fall along edges and then through themselves, to a fixed point."""
     spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boxwright-"))
+    shared_dir(spark)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.select(F.col("a").alias("k")).distinct().withColumn("c", F.col("k")).checkpoint()
     while True:

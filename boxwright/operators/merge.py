@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,13 @@ def merge_stats(disposed: DataFrame) -> DataFrame:
     return disposed.groupBy("source").agg(
         count(used & F.col("positive"), "pos"), count(used & ~F.col("positive"), "neg"), *(count(F.col("disposition") == d, n) for d, n in (("leak", "leaked"), ("dup", "dup"), ("dropped_neg", "dropped_neg"), ("over_cap", "over_cap"), ("val_ext", "held")))
     )
+
+
+def union_inputs(*inputs: DataFrame) -> DataFrame:
+    """The rows of all inputs, one after the other; columns meet by name."""
+    return reduce(DataFrame.unionByName, inputs)
+
+
+def held_digests(*splits: DataFrame) -> DataFrame:
+    """The distinct digests of held-out splits."""
+    return union_inputs(*(s.select("digest") for s in splits)).distinct()

@@ -50,3 +50,8 @@ def sweep(images: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> Data
 def best_threshold(swept: DataFrame) -> DataFrame:
     """The row of highest F1; of equals the lowest threshold."""
     return swept.orderBy(F.desc("f1"), "threshold").limit(1)
+
+
+def by_background(matched: DataFrame, least: float = 0.4) -> DataFrame:
+    """by_group over backgrounds: green where the share of green pixels (column green) is above ``least``."""
+    return by_group(matched.withColumn("background", F.when(F.col("green") > least, "green").otherwise("other")), "background")

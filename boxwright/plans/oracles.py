@@ -142,6 +142,12 @@ f3 AS (
 )"""
 _QIOU = _IOU.replace("a.", "q.").replace("b.", "r.")
 
+NORMAL = f"""{DOCS}, cand AS (
+  SELECT c.*, c.source || '/images/' || c.path || '.jpg' AS file, CASE WHEN quality IS NOT NULL THEN 'text' WHEN c.doc_id % 4 = 0 THEN 'coco' WHEN c.doc_id % 5 = 0 THEN 'voc' END AS origin,
+    CASE WHEN quality IS NOT NULL THEN (quality = 1)::INT WHEN c.doc_id % 4 = 0 THEN (c.doc_id % 8 = 0)::INT WHEN c.doc_id % 5 = 0 THEN 1 END AS boxes, coalesce((quality = 1)::INT, 0) AS dropped FROM cat c
+), firsts AS (SELECT digest, min(file) AS f FROM cand WHERE origin IS NOT NULL GROUP BY digest
+), normal AS (SELECT cand.*, CASE WHEN origin IS NULL THEN 'unlabelled' WHEN file <> f THEN 'dup' WHEN boxes > 0 THEN 'positive' ELSE 'negative' END AS disposition FROM cand LEFT JOIN firsts USING (digest))"""
+
 ORACLE_SQL = {
     "alg10_leak_safe_merge": f"WITH {DISPOSED} SELECT source, disposition, count(*) AS n, min(path) AS first_path FROM disposed GROUP BY ALL",
     "alg10_dispositions": f"WITH {DISPOSED} SELECT source, path, disposition FROM disposed",
@@ -258,4 +264,25 @@ ORACLE_SQL = {
         FROM walk w JOIN ranked r ON r.image = w.image AND r.i = w.i + 1
       ), last AS (SELECT image, arg_max(kept, i) AS kept FROM walk GROUP BY image)
       SELECT image, e.k AS k, e.conf AS conf FROM (SELECT image, unnest(kept) AS e FROM last)""",
+    "src2_label_states": f"""WITH {LINES}, {_FIXED}, st AS (
+        SELECT CASE WHEN kind = 1 THEN 'malformed' WHEN kind = 3 THEN 'dropped' WHEN c - a > 1e-6 AND d - b > 1e-6 THEN 'box' ELSE 'degenerate' END AS state, c - a AS w FROM f2
+      ) SELECT state, count(*) AS n, round(sum(CASE WHEN state = 'box' THEN w END), 4) AS width FROM st GROUP BY state""",
+    "alg11_normalised": f"WITH {NORMAL} SELECT coalesce(origin, 'none') AS origin, disposition, count(*) AS n, sum(coalesce(boxes, 0))::BIGINT AS boxes FROM normal GROUP BY ALL",
+    "agg17_accounting": f"""WITH {NORMAL} SELECT count(*) FILTER (disposition = 'positive') AS positives, count(*) FILTER (disposition = 'negative') AS negatives, coalesce(sum(boxes) FILTER (disposition = 'positive'), 0)::BIGINT AS boxes,
+      sum(dropped)::BIGINT AS dropped, count(*) FILTER (disposition = 'unlabelled') AS bad, count(*) FILTER (disposition = 'dup') AS dup FROM normal""",
+    "set2_union_of_inputs": f"WITH {DOCS} SELECT split, count(*) AS n FROM docs GROUP BY split",
+    "set3_held_out_digests": f"WITH {DOCS} SELECT DISTINCT digest FROM docs WHERE split IN ('val', 'test')",
+    "agg11_recall_by_background": f"WITH RECURSIVE {matched('0.25')} SELECT CASE WHEN (image % 10) / 10.0::DOUBLE > 0.4::DOUBLE THEN 'green' ELSE 'other' END AS background, count(*) AS imgs, sum(n_gt)::BIGINT AS gt, sum(hits)::BIGINT AS hit, round(coalesce(sum(hits) / nullif(sum(n_gt), 0), 0), 6) AS recall FROM m GROUP BY ALL",
+    "snk1_manifest": f"WITH {DOCS} SELECT split, path, digest FROM docs",
+    "src10_report": f"WITH {FILTERED} SELECT 'train' AS split, CAST(idx AS VARCHAR) AS filename, CAST(printf('%.3f', greatest(conf, 0)) AS DOUBLE) AS score FROM filtered",
+    "snk8_repair_with_backup": f"""WITH {LINES}, {_FIXED} SELECT 'before' AS kind, 'labels/' || stem || '.txt' AS path, string_agg(line, chr(10) ORDER BY line_no, line) AS text FROM f3 GROUP BY stem
+      UNION ALL SELECT 'after', 'labels/' || stem || '.txt', string_agg(fresh, chr(10) ORDER BY line_no, line) FROM f3 GROUP BY stem""",
+    "str2_running_counters": """SELECT user_id AS source, event_id AS frame_no, row_number() OVER w AS seen, (sum((value > 50)::INT) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS hit, round(avg((value > 50)::INT) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS hit_rate,
+      round(avg(1.0 / (abs(value) / 100 + 0.01::DOUBLE)) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) AS fps FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+    "str4_rate_limited": """WITH RECURSIVE e AS (SELECT user_id AS source, event_id AS frame_no, event_id * 0.25::DOUBLE AS t FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND value IS NOT NULL),
+      taken(source, frame_no, t, saved) AS (
+        SELECT source, min(frame_no), min(t), 1::BIGINT FROM e GROUP BY source
+        UNION ALL
+        SELECT source, frame_no, t, saved FROM (SELECT e.source, e.frame_no, e.t, k.saved + 1 AS saved, row_number() OVER (PARTITION BY e.source ORDER BY e.frame_no) AS r FROM taken k JOIN e ON e.source = k.source AND e.t - k.t >= 300 WHERE k.saved < 5) WHERE r = 1
+      ) SELECT source, frame_no, saved FROM taken""",
 }

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import label_line
@@ -55,3 +56,10 @@ def restore(moved: DataFrame) -> DataFrame:
 def append_audit(added: DataFrame, path: str, run: str) -> None:
     """An added-negatives record; earlier runs stay."""
     added.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+
+
+def rewrite_with_backup(spark: SparkSession, path: str, backup: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Replaces a table by its changed rows; a backup is written first, and the changed rows are read from it, so nothing is overwritten while read."""
+    before = spark.read.parquet(path)
+    before.write.mode("errorifexists").parquet(backup)
+    change(spark.read.schema(before.schema).parquet(backup)).write.mode("overwrite").parquet(path)

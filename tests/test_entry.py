@@ -6,11 +6,12 @@ import pytest
 
 def test_every_query_has_a_name_and_core_queries_have_sql():
     import __spark_entry__ as e
-    from boxwright.plans import oracles, queries
+    from boxwright.plans import connectors, oracles, queries
 
-    assert set(oracles.ORACLE_SQL) <= set(queries.QUERIES)
-    assert set(queries.QUERIES) - set(oracles.ORACLE_SQL) <= {"alg3_nms", "alg12_label_repair", "alg14_failure_report"}
-    assert set(queries.QUERIES) <= set(e.queries())
+    names = set(queries.QUERIES | connectors.QUERIES)
+    assert set(oracles.ORACLE_SQL) <= names
+    assert names - set(oracles.ORACLE_SQL) <= {"alg3_nms", "alg12_label_repair", "alg14_failure_report"}
+    assert names <= set(e.queries())
 
 
 def test_the_library_stands_without_the_corpus_operators(monkeypatch):
