@@ -16,7 +16,9 @@ between their separators, so all spellings of a number have one pseudonym; count
 codes of phones stay.  A phone of a country other than +1 that is followed by another
 number, one blank on, is taken together with it (15 digits at most); numbers of
 unlisted countries' accounts are found unbroken only, phones without + in the 3-3-4
-shape only, and a trunk (0) counts as a digit.
+shape only, and a trunk (0) counts as a digit.  Social security numbers are permuted
+among those that are valid.  A date with slashes is taken day first, and month first
+where it is none otherwise; different dates have different pseudonyms within a form.
 
 Defined results: a null text stays null; texts without personal data stay as they
 are, and so do numbers that fail validation; repeated rows are treated alike; an
@@ -127,7 +129,17 @@ def _mod97(value: Column) -> Column:
 
 
 def _date(value: Column) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy"))).cast("date")
+    return F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy", "MM/dd/yyyy"))).cast("date")
+
+
+def _ssn(value: Column, kind: Column, key: str) -> Column:
+    """Permutes area, group and serial among those that are given out: areas 1 to 899 but 666, groups and serials from 1."""
+    area, group, serial = (F.substr(value, F.lit(at), F.lit(n)).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    place = F.when(area < 666, area - 1).otherwise(area - 2)
+    symbols = F.array(place, group - 1, F.floor((serial - 1) / 101).cast("int"), F.pmod(serial - 1, F.lit(101)))
+    made = feistel(symbols, F.array(F.lit(898), F.lit(99), F.lit(99), F.lit(101)), kind, key)
+    fresh = lambda x: F.format_string("%03d-%02d-%04d", F.when(x[0] < 665, x[0] + 1).otherwise(x[0] + 2), x[1] + 1, x[2] * 101 + x[3] + 1)
+    return let(made, fresh)
 
 
 def _bare(value: Column) -> Column:
@@ -196,9 +208,9 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
             lambda s: F.date_add(F.lit(_EPOCH).cast("date"), (d - turn(d) + F.get(s, F.lit(0)) * CYCLE[1] + F.get(s, F.lit(1))).cast("int")),
         ),
     )
-    date = F.when(value.contains("/"), F.date_format(moved, "dd/MM/yyyy")).when(value.contains("."), F.date_format(moved, "dd.MM.yyyy")).otherwise(F.date_format(moved, "yyyy-MM-dd"))
-    plain = _characters(value, kind, key)
-    forms = {"email": email, "phone": phone, "secret": secret, "ip": ip, "card": card, "iban": iban, "date": date, "ssn": plain}
+    day_first = F.try_to_timestamp(value, F.lit("dd/MM/yyyy")).isNotNull()
+    date = F.when(value.contains("/"), F.when(day_first, F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "MM/dd/yyyy"))).when(value.contains("."), F.date_format(moved, "dd.MM.yyyy")).otherwise(F.date_format(moved, "yyyy-MM-dd"))
+    forms = {"email": email, "phone": phone, "secret": secret, "ip": ip, "card": card, "iban": iban, "date": date, "ssn": _ssn(value, kind, key)}
     out = value
     for name, form in forms.items():
         out = F.when(kind == name, form).otherwise(out)

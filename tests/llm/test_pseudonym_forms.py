@@ -24,3 +24,33 @@ def test_printed_forms_are_found_and_linked(spark):
     cvv, *left = rows[len(flat) :]
     assert cvv.kinds == ["card"] and cvv.text.endswith(" 123") and cvv.text.replace(" ", "")[:16] == next(iter(linked["card", 1]))
     assert [r.text for r in left] == texts[len(flat) + 1 :]
+
+
+def test_social_security_numbers_stay_valid_and_distinct(spark):
+    from boxwright.llm.pseudonyms import pseudonymise
+
+    valid = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
+    numbers = [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 2, 78, 664, 665, 667, 668, 898, 899) for g in (1, 50, 99) for s in (1, 2, 101, 102, 4096, 5000, 9998, 9999)]
+    rows = pseudonymise(spark.createDataFrame(list(enumerate(numbers)), "doc_id bigint, text string"), "k").collect()
+    assert all(r.kinds == ["ssn"] and valid.fullmatch(r.text) for r in rows)
+    assert len({r.text for r in rows}) == len(numbers) and sum(r.text == numbers[r.doc_id] for r in rows) <= 1
+    left = pseudonymise(spark.createDataFrame([(1, "000-12-3456 666-12-3456 912-12-3456 123-00-4567 123-45-0000")], "doc_id bigint, text string"), "k").first()
+    assert left.kinds == [] and left.text.startswith("000-12-3456")
+
+
+def test_dates_with_the_month_first(spark):
+    from datetime import datetime
+
+    from boxwright.llm.pseudonyms import pseudonymise
+
+    texts = ["12/31/1999", "31/12/1999", "1999-12-31", "13/13/1999"]
+    rows = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "k").orderBy("doc_id").collect()
+    month, day, iso, none = (r.text for r in rows)
+    assert none == texts[3] and month != texts[0]
+    assert datetime.strptime(month, "%m/%d/%Y") == datetime.strptime(day, "%d/%m/%Y") == datetime.strptime(iso, "%Y-%m-%d")
+
+
+def test_pseudonyms_of_nothing(spark):
+    from boxwright.llm.pseudonyms import pseudonymise
+
+    assert pseudonymise(spark.createDataFrame([], "doc_id bigint, text string, kind string"), "k").count() == 0
