@@ -3,38 +3,49 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sinks.shared import shared_dir
+from . import vectors
 
 
-def rmse(a: Column, b: Column) -> Column:
-    squares = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return F.sqrt(squares / F.size(a))
+def similar_pairs(rows: DataFrame, threshold: float, key: str = "id", vec: str = "v") -> DataFrame:
+    """(a, b), a < b, of vectors of one length at most threshold apart (RMSE).
 
-
-def _mean(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(v)
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", vec: str = "v", parts: int = 4) -> DataFrame:
-    """(a, b), a < b, of vectors at most threshold apart, without comparing all pairs.
-
-    A part's mean differs by at most sqrt(parts) x RMSE, so means on a grid of that
-    width put similar vectors into neighbouring cells.  One side looks into its
-    neighbours, the join is on the cell, and the distance is checked exactly.
+    Cells of a grid over the projections are as wide as similar vectors can differ, so
+    only neighbouring cells meet, each two once, in pairs of blocks; what they hold is
+    compared by matrix products and checked exactly.  Where the projections tell
+    nothing apart, all blocks meet.  Keys are unique; rows without one are in no pair.
     """
-    width = threshold * parts**0.5 * (1 + 1e-9)
-    n = (F.size(vec) / parts).cast("int")
-    cells = [F.floor(_mean(F.slice(vec, n * i + 1, n)) / width).cast("bigint").alias(f"c{i}") for i in range(parts)]
-    base = vectors.where(F.size(vec) > 0).select(F.col(key).alias("k"), F.col(vec).alias("v"), *cells)
-    names = [f"c{i}" for i in range(parts)]
-    look = reduce(lambda d, c: d.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))), names, base)
-    left = look.select(F.col("k").alias("a"), F.col("v").alias("va"), *names)
-    right = base.select(F.col("k").alias("b"), F.col("v").alias("vb"), *names)
-    return left.join(right, names).where((F.col("a") < F.col("b")) & (rmse(F.col("va"), F.col("vb")) <= threshold)).select("a", "b")
+    known = vectors.sample(rows, key, vec)
+    placed = vectors.projected(rows, key, vec, vectors.directions(known))
+    slack = vectors.magnitude(placed)
+    width = F.lit(threshold) * F.sqrt("n") * (1 + 1e-9) + F.lit(slack + 1e-300)
+    cells = [f"c{i}" for i in range(vectors.DIRECTIONS)]
+    place = ["n", *cells]
+    placed = placed.select("k", "v", "n", *(F.floor(F.col(p) / width).cast("bigint").alias(c) for p, c in zip(vectors.AXES, cells, strict=True)))
+    blocks, places = vectors.numbered(placed, place)
+    around = [o for o in product((-1, 0, 1), repeat=len(cells)) if o >= (0,) * len(cells)]
+    looks = F.explode(F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(o, cells, strict=True))) for o in around)))
+    left = places.withColumn("o", looks).select(*(F.col(c).alias(f"{c}_l") for c in [*place, "blocks"]), F.col("n").alias("n_r"), *((F.col(c) + F.col(f"o.{c}")).alias(f"{c}_r") for c in cells))
+    right = places.select(*(F.col(c).alias(f"{c}_r") for c in [*place, "blocks"]))
+    own = reduce(lambda x, y: x & y, (F.col(f"{c}_l") == F.col(f"{c}_r") for c in cells))
+    first = F.when(own, F.col("block_l")).otherwise(0)
+    met = left.join(right, [f"{c}_r" for c in place]).withColumn("block_l", F.explode(F.sequence(F.lit(0), F.col("blocks_l") - 1)))
+    met = met.withColumn("block_r", F.explode(F.sequence(first, F.col("blocks_r") - 1))).withColumn("same", own & (F.col("block_l") == F.col("block_r")))
+
+    def compare(k, x, l, y):
+        import pyarrow as pa
+
+        for i, j in vectors.within(x, x if y is None else y, threshold, y is None):
+            yield k.take(pa.array(i)), (k if l is None else l).take(pa.array(j))
+
+    kind = rows.schema[key].dataType.simpleString()
+    found = vectors.met(blocks, blocks, met, place, compare, f"x {kind}, y {kind}")
+    return found.where("x < y or y < x").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
@@ -59,11 +70,44 @@ def units(images: DataFrame) -> DataFrame:
     return images.groupBy("parent", "source_stem").agg(F.min("path").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def nearest(test: DataFrame, train: DataFrame, vec: str = "v", blocks: int = 16) -> DataFrame:
-    """(key, distance) from each test row to the nearest train row: every test block meets every train block once."""
-    t = test.withColumn("bt", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("bs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    s = train.select(F.col(vec).alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("bs"))
-    return t.join(s, "bs").groupBy("id").agg(F.min(rmse(F.col(vec), F.col("w"))).alias("distance"))
+def nearest(test: DataFrame, train: DataFrame, vec: str = "v") -> DataFrame:
+    """(id, distance) from each test row to the nearest train row of its length, null where there is none; ids are unique.
+
+    The nearest of a bounded sample of the train rows bounds how far a test row must
+    look.  Train rows lie in slices of the first projection; a test block meets the
+    slices in its reach, of those the blocks that no projection rules out.
+    """
+    known = vectors.sample(train, "id", vec)
+    axes = vectors.directions(known)
+    cuts = {n: sorted({float(x) for x in (axes[n][:1] @ v.T)[0][:: vectors.SLICE]}) for n, v in known.items()}
+    listed = F.create_map(*(x for n, c in cuts.items() for x in (F.lit(n), F.lit(c)))) if cuts else F.create_map().cast("map<int,array<double>>")
+    slices = F.coalesce(listed[F.col("n")], F.array().cast("array<double>"))
+    below = lambda at: F.size(F.filter(slices, lambda c: c <= at))
+    of_train, of_test = (vectors.projected(d, "id", vec, axes, k).withColumn("slice", below(F.col("p0"))) for d, k in ((train, None), (test, known)))
+    slack = vectors.magnitude(of_train.select("v", "n").unionByName(of_test.select("v", "n")))
+    place = ["n", "slice"]
+    at = [*place, "block"]
+    (trained, _), (tested, _) = vectors.numbered(of_train, place), vectors.numbered(of_test, place)
+    box = [f(p).alias(f"{p}_{e}") for p in vectors.AXES for f, e in ((F.min, "lo"), (F.max, "hi"))]
+    ours = tested.groupBy(*at).agg(F.max(F.col("reach") * F.sqrt("n") * (1 + 1e-9) + slack).alias("reach"), *box).withColumnsRenamed({c: f"{c}_l" for c in at})
+    n = F.col("n_l").alias("n")
+    ends = ours.withColumn("n", n).withColumn("from", below(F.col("p0_lo") - F.col("reach"))).withColumn("to", below(F.col("p0_hi") + F.col("reach")))
+    looks = ends.withColumn("slice_r", F.explode(F.sequence("from", "to"))).withColumnRenamed("n", "n_r")
+    theirs = trained.groupBy(*at).agg(*box).select(*(F.col(c).alias(f"{c}_r") for c in at), *(F.col(f"{p}_{e}").alias(f"{p}_{e}_r") for p in vectors.AXES for e in ("lo", "hi")))
+    gap = lambda p: F.greatest(F.col(f"{p}_lo") - F.col(f"{p}_hi_r"), F.col(f"{p}_lo_r") - F.col(f"{p}_hi"), F.lit(0.0))
+    apart = F.sqrt(reduce(lambda x, y: x + y, (gap(p) * gap(p) for p in vectors.AXES)))
+    met = looks.join(theirs, ["n_r", "slice_r"]).where(apart <= F.col("reach") + slack).withColumn("same", F.lit(False))
+
+    def compare(k, x, _, y):
+        import pyarrow as pa
+
+        if y is not None:
+            i, d = vectors.closest(x, y)
+            yield k.take(pa.array(i)), pa.array(d)
+
+    kind = test.schema["id"].dataType.simpleString()
+    found = vectors.met(tested, trained, met, place, compare, f"id {kind}, d double").groupBy("id").agg(F.min("d").alias("distance"))
+    return test.select("id").join(found, "id", "left")
 
 
 def leak_stats(distances: DataFrame, marks: tuple[float, ...] = (1, 3, 6), digits: int = 1) -> DataFrame:
