@@ -28,10 +28,12 @@ def greedy(gts: Column, preds: Column, least: float = HIT) -> Column:
         used = F.transform(F.filter(done, lambda d: d["pred"].isNotNull()), lambda d: d["pred"])
         free = F.filter(preds, lambda p: ~F.array_contains(used, p["k"]))
         scored = F.transform(free, lambda p: F.struct(iou(g["box"], p["box"]).alias("iou"), (-p["k"]).alias("nk")))
-        best = F.array_max(scored)
-        hit = F.coalesce(best["iou"] >= least, F.lit(False))
-        made = F.struct(g["k"].cast("int").alias("k"), g["box"].alias("box"), F.coalesce(best["iou"], F.lit(0.0)).alias("iou"), F.when(hit, -best["nk"]).cast("int").alias("pred"))
-        return F.concat(done, F.array(made))
+
+        def made(best: Column) -> Column:
+            hit = F.coalesce(best["iou"] >= least, F.lit(False))
+            return F.struct(g["k"].cast("int").alias("k"), g["box"].alias("box"), F.coalesce(best["iou"], F.lit(0.0)).alias("iou"), F.when(hit, -best["nk"]).cast("int").alias("pred"))
+
+        return F.concat(done, F.transform(F.array(F.array_max(scored)), made))  # a lambda's argument is computed once
 
     return F.aggregate(gts, none, step)
 

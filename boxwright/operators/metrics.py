@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import size_band
+from ..functions.geometry import iou, size_band
 from ..functions.scores import precision_recall_f1
-from .matching import greedy_match
+from .matching import HIT
 
 # The thresholds of the sweep.
 THRESHOLDS = (0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50, 0.60)
@@ -41,12 +41,27 @@ def recall_report(best: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def sweep(images: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """Precision, recall and F1 at each confidence threshold; images are gathered once."""
-    rows = images.select("*", F.explode(F.array(*(F.lit(t) for t in thresholds))).alias("threshold"))
-    counts = greedy_match(rows, F.col("threshold")).groupBy("threshold").agg(*(F.sum(c).alias(c) for c in ("n_gt", "hits", "fp")))
+    """Precision, recall and F1 at each confidence threshold, as greedy_match counts them.
+
+    Only overlaps that are hits can be taken, so each image's overlaps are computed
+    once, the hits kept without their boxes, and the thresholds fold over those.
+    """
+    near = F.transform("gts", lambda g: F.filter(F.transform("preds", lambda p: F.struct(iou(g["box"], p["box"]).alias("iou"), (-p["k"]).alias("nk"), p["conf"].alias("conf"))), lambda c: c["iou"] >= HIT))
+    lean = images.select(F.size("gts").alias("n_gt"), F.transform("preds", lambda p: p["conf"]).alias("confs"), F.filter(near, lambda c: F.size(c) > 0).alias("near"))
+    rows = lean.select("*", F.explode(F.array(*(F.lit(t) for t in thresholds))).alias("threshold"))
+    taken = F.aggregate("near", F.transform(F.slice(F.flatten("near"), 1, 0), lambda c: c["nk"]), _take)
+    each = rows.select("threshold", "n_gt", F.size(taken).alias("hits"), F.size(F.filter("confs", lambda c: c >= F.col("threshold"))).alias("n_pred"))
+    counts = each.groupBy("threshold").agg(F.sum("n_gt").alias("n_gt"), F.sum("hits").alias("hits"), F.sum(F.col("n_pred") - F.col("hits")).alias("fp"))
     return counts.select("threshold", "n_gt", "hits", "fp", *precision_recall_f1(F.col("hits"), F.col("fp"), F.col("n_gt")))
 
 
+def _take(used: Column, hits: Column) -> Column:
+    """used and the best of the hits that are free and sure enough, if there is one."""
+    free = F.filter(hits, lambda c: (c["conf"] >= F.col("threshold")) & ~F.array_contains(used, c["nk"]))
+    best = F.filter(F.array(F.array_max(F.transform(free, lambda c: F.struct(c["iou"], c["nk"])))), lambda c: c.isNotNull())
+    return F.concat(used, F.transform(best, lambda c: c["nk"]))
+
+
 def best_threshold(swept: DataFrame) -> DataFrame:
     """The row of highest F1; of equals the lowest threshold."""
     return swept.orderBy(F.desc("f1"), "threshold").limit(1)
