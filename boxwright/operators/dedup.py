@@ -120,22 +120,28 @@ def leak_stats(distances: DataFrame, marks: tuple[float, ...] = (1, 3, 6), digit
 def assign_splits(sizes: DataFrame, val: float = 0.1, test: float = 0.1) -> DataFrame:
     """(cluster, size, split): clusters from the largest on, each to the split of largest relative deficit (val, then test, then train on ties).
 
-    The greedy order is a fold over cluster sizes, one small row a cluster.
+    The greedy order is sequential: the clusters, a small row each, stream sorted
+    through one task that holds the three totals.
     """
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("n"), "cluster"))).alias("xs")
-    ranked = sizes.agg(listed, F.sum("size").cast("double").alias("total"))
-    total = F.col("total")
+    rows = sizes.select("cluster", "size")
+    total = float(rows.agg(F.sum("size")).first()[0] or 0)
     wants = (total * val, total * test, total * (1 - val - test))
-    start = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("t"), F.lit(0.0).alias("r"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        dv, dt, dr = ((w - acc[k]) / F.greatest(w, F.lit(1.0)) for w, k in zip(wants, "vtr", strict=True))
-        to = F.when((dv >= dt) & (dv >= dr), "val").when(dt >= dr, "test").otherwise("train")
-        add = lambda k, name: (acc[k] + F.when(to == name, -x["n"]).otherwise(0)).cast("double").alias(k)
-        return F.struct(add("v", "val"), add("t", "test"), add("r", "train"), F.concat(acc["out"], F.array(to)).alias("out"))
+    def assign(batches):
+        import pyarrow as pa
 
-    folded = ranked.select("xs", F.aggregate("xs", start, step)["out"].alias("to"))
-    return folded.select(F.explode(F.arrays_zip("xs", "to")).alias("z")).select(F.col("z.xs.cluster").alias("cluster"), (-F.col("z.xs.n")).alias("size"), F.col("z.to").alias("split"))
+        have = [0.0, 0.0, 0.0]
+        for batch in batches:
+            out = []
+            for size in batch.column(1).to_pylist():
+                dv, dt, dr = ((w - h) / max(w, 1.0) for w, h in zip(wants, have, strict=True))
+                to = 0 if dv >= dt and dv >= dr else 1 if dt >= dr else 2
+                have[to] += size
+                out.append(("val", "test", "train")[to])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["cluster", "size", "split"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(1).sortWithinPartitions(F.desc("size"), "cluster").mapInArrow(assign, f"{kinds}, split string")
 
 
 def copies_histogram(unit_rows: DataFrame) -> DataFrame:

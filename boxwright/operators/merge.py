@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import draw, first_per_digest
+from .sampling import draw, first_per_digest, ranked
 
 
 def dispose(external: DataFrame, holdout: DataFrame, max_per_source: int | None = None, neg_ratio: float = 0.25, val_share: float = 0.0, seed: int | str = 0) -> DataFrame:
@@ -29,29 +29,19 @@ def dispose(external: DataFrame, holdout: DataFrame, max_per_source: int | None
     cap = F.col("np") if max_per_source is None else F.least(F.col("np"), F.lit(max_per_source))
     counts = counts.select("source", cap.alias("cap"), F.least(F.col("nn"), F.floor(cap * neg_ratio)).alias("neg_cap"))
     key = F.concat_ws("/", "source", "path")
-    ranked = _ranked(usable.withColumn("__u", draw(seed, key)), ["source", "positive"], "r").join(counts, "source")
-    ranked = ranked.withColumn("in", F.when(F.col("positive"), F.col("r") <= F.col("cap")).otherwise(F.col("r") <= F.col("neg_cap")))
-    chosen = _ranked(ranked.where("in").withColumn("__u", draw(f"{seed}h", key)), ["source"], "h")
+    numbered = _ranked(usable.withColumn("__u", draw(seed, key)), ["source", "positive"], "r").join(counts, "source")
+    numbered = numbered.withColumn("in", F.when(F.col("positive"), F.col("r") <= F.col("cap")).otherwise(F.col("r") <= F.col("neg_cap")))
+    chosen = _ranked(numbered.where("in").withColumn("__u", draw(f"{seed}h", key)), ["source"], "h")
     held_out = F.col("h") <= F.floor((F.col("cap") + F.col("neg_cap")) * val_share)
     used = chosen.withColumn("disposition", F.when(held_out, "val_ext").otherwise("train"))
-    cut = ranked.where(~F.col("in")).withColumn("disposition", F.when(F.col("positive"), "over_cap").otherwise("dropped_neg"))
+    cut = numbered.where(~F.col("in")).withColumn("disposition", F.when(F.col("positive"), "over_cap").otherwise("dropped_neg"))
     cols = rows.columns
     return rows.where("disposition is not null").unionByName(used.select(*cols)).unionByName(cut.select(*cols))
 
 
 def _ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """The rank by __u in each group, in two steps: ranks inside hashed parts, then the parts' offsets.
-
-    Parts are ranges of __u (its first two hex digits), so a group of any size is
-    ranked by 256 tasks and only the parts' counts meet.
-    """
-    from pyspark.sql import Window
-
-    parts = df.withColumn("__b", F.substring("__u", 1, 2))
-    inside = Window.partitionBy(*by, "__b").orderBy("__u", "path")
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offset = parts.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c")).withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
-    return parts.withColumn("__i", F.row_number().over(inside)).join(offset, [*by, "__b"]).withColumn(name, F.col("__i") + F.col("__o")).drop("__u", "__b", "__i", "__o")
+    """The rank by __u in each group."""
+    return ranked(df, by, F.substring("__u", 1, 2), [F.col("__u"), F.col("path")], name).drop("__u", "__n")
 
 
 def merge_stats(disposed: DataFrame) -> DataFrame:

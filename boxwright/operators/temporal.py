@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +53,38 @@ def running_hit_rate(source: list[str], order: list[str], hit: str) -> Column:
 
 
 def min_gap(df: DataFrame, source: list[str], time: str, key: str, gap: float) -> DataFrame:
-    """Rows at least ``gap`` after the last one taken (of each source): a fold over its rows in time order."""
-    listed = df.groupBy(*source).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(key).alias("k")))).alias("xs"))
-    none = F.slice("xs", 1, 0)
-    taken = F.aggregate("xs", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["t"] - F.element_at(F.when(F.size(acc) > 0, acc), -1)["t"] >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    return listed.select(*source, F.explode(taken).alias("x")).select(*source, F.col("x.k").alias(key), F.col("x.t").alias(time))
+    """Rows at least ``gap`` after the last one taken (of each source); rows without a time are left out.
+
+    Each source streams through a task in time order, of which only the last time
+    taken is held; between two rows taken the others are passed over by bisection.
+    """
+    rows = df.where(F.col(time).isNotNull()).select(*source, key, time)
+    placed = rows.repartition(*source).sortWithinPartitions(*source, time, key)
+    n = len(source)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_source, last = None, None
+        for batch in batches:
+            times = batch.column(n + 1).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            taken, start = [], 0
+            for name, run in groupby(zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True)):
+                end = start + sum(1 for _ in run)
+                if name != open_source:
+                    open_source, last = name, None
+                at = start
+                while at < end:
+                    if last is not None:
+                        first = at
+                        at += int(np.searchsorted(times[at:end], last + gap))
+                        while at > first and times[at - 1] - last >= gap:  # what rounding of the sum passed over
+                            at -= 1
+                        while at < end and not times[at] - last >= gap:
+                            at += 1
+                    if at < end:
+                        taken.append(at)
+                        last = times[at]
+                        at += 1
+                start = end
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    return placed.mapInArrow(pick, rows.schema)
