@@ -35,24 +35,40 @@ DIMS = ("d0", "d1", "d2")
 _OVERHEAD = 8
 
 
-def ordered_code(col: Column) -> Column:
-    """The first six bytes of a string as a number that sorts as the strings do; null: -1."""
-    return F.coalesce(F.conv(F.substring(F.rpad(F.hex(F.encode(col, "utf-8")), 12, "0"), 1, 12), 16, 10).cast("double"), F.lit(-1.0))
+def ranks(docs: DataFrame) -> DataFrame:
+    """(kind, x, rank): the sources and languages in order, null first, however long what they share at the start.
 
-
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, the text's fingerprint g, and the three dimensions: source, language and size."""
+    Ranges of the distinct values are numbered inside, then offset by the ranges' totals.
+    """
+    value = lambda c: F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("x"))
+    found = docs.select(F.explode(F.array(value("source"), value("lang"))).alias("z")).select("z.kind", "z.x").distinct()
+    dealt = written(found.repartitionByRange("kind", "x").withColumn("part", F.spark_partition_id()), "values")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    first = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    at = Window.partitionBy("part").orderBy("kind", "x")
+    numbered = dealt.withColumn("k", F.row_number().over(at)).join(first, "part")
+    out = written(numbered.select("kind", "x", (F.col("k") + F.col("first")).cast("double").alias("rank")), "ranks")
+    drop_written(dealt)
+    return out
+
+
+def measured(docs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, the text's fingerprint g, and the three dimensions: ranks of source and language, and size."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("bigint") + _OVERHEAD
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         size.alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
         F.xxhash64(text).alias("g"),
-        ordered_code(F.col("source").cast("string")).alias("d0"),
-        ordered_code(F.col("lang").cast("string")).alias("d1"),
+        F.col("source").cast("string").alias("source"),
+        F.col("lang").cast("string").alias("lang"),
         F.log2(size.cast("double")).alias("d2"),
     )
+    for c, d in (("source", "d0"), ("lang", "d1")):
+        own = ranked.where(F.col("kind") == c).select(F.col("x").alias("__x"), F.col("rank").alias(d))
+        rows = rows.join(own, F.col(c).eqNullSafe(F.col("__x"))).drop("__x", c)
+    return rows.select("doc_id", "size", "text_crc32", "g", *DIMS)
 
 
 def _unit(*cols: Column) -> Column:
@@ -156,7 +172,8 @@ def grow_tree(points: DataFrame, shards: int) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Per document row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    rows = written(measured(docs), "measured")
+    ranked = ranks(docs)
+    rows = written(measured(docs, ranked), "measured")
     key = ["g", "text_crc32", "size"]
     totals = rows.agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).first()
     target = (totals.b or 0) / shards
@@ -172,7 +189,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     apart = alone.join(placed.where("alone").select(*key, "h", "d0", "d1", "leaf"), [*key, "h", "d0", "d1"]).select(*together.columns)
     out = together.unionByName(apart).select("doc_id", "size", "text_crc32", "g", F.col("leaf").alias("shard"))
     out = written(out, "sharded")
-    drop_written(points, placed, groups, rows)
+    drop_written(points, placed, groups, rows, ranked)
     return _slots(out, shards, totals.n).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
     )
