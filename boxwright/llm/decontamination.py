@@ -13,9 +13,11 @@ the list that is shortest in the segment; a proximity match is a run of at most
 rarest word.
 
 Segments never move: building and searching are two scans without a shuffle, and
-items travel to the segments in blocks of bounded size; a group of segments shares
-each block.  Beyond its text a segment needs some 25 bytes a word, so a worker must
-hold that for the longest text.
+items travel to the segments in blocks of bounded size; where blocks are read from
+files, a group of segments shares each.  Segments go to a worker one at a time, or an
+executor would hold a whole partition's in Arrow buffers beside its heap.  Beyond its
+text a segment needs some 25 bytes a word, so a worker must hold that for the longest
+text.
 
 Defined results: a null or wordless text has no words, is hit nowhere and is not
 contaminated; an item without an id or without words is ignored; repeated ids of
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import filesystem, scratch_path, written
+from .common import arrow_rows, drop_written, filesystem, scratch_path, written
 
 #: Words of a window, and the free positions between two texts of a segment.
 WIDTH = 13
@@ -44,7 +46,9 @@ SEGMENT_BYTES = 2 << 20
 BLOCK_WORDS = 500_000
 #: Words among which all words of a window count as a proximity match, and postings of the segments that share the reading of a block.
 NEAR = 20
-GROUP = 8 << 20
+GROUP = 4 << 20
+#: Documents in an Arrow batch on their way into the index.
+BATCH = 1000
 
 _SEGMENT = "doc_ids array<bigint>, n_words array<int>, base array<bigint>, terms array<bigint>, ptr array<bigint>, positions array<int>"
 
@@ -217,8 +221,8 @@ class Search:
         )
 
 
-def matches(index: DataFrame, blocks, width: int = WIDTH, within: int = NEAR) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, near_items): for each indexed text its hit words, the items with an occurring window and those with all words of one within so many words."""
+def matches(index: DataFrame, blocks, width: int = WIDTH, within: int = NEAR, group: int = GROUP) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, near_items): for each indexed text its hit words, the items with an occurring window and those with all words of one within so many words.  Segments of so many postings (group) share one reading of the blocks."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -226,7 +230,7 @@ def matches(index: DataFrame, blocks, width: int = WIDTH, within: int = NEAR) ->
             for row in _rows(batch):
                 held.append(Search(row, width))
                 size += len(row["positions"])
-                if size >= GROUP:
+                if size >= group:
                     yield from settle(held)
                     held, size = [], 0
         yield from settle(held)
@@ -285,9 +289,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share:
     """
     if width > NEAR or NEAR > GAP:
         raise ValueError(f"a window may have {NEAR} words at most")
-    index = written(build_index(docs), "postings")
-    listed = written(item_words(items), "items")
-    found = matches(index, _blocks(index, listed, width), width)
+    spark = docs.sparkSession
+    with arrow_rows(spark, BATCH):
+        index = written(build_index(docs), "postings")
+        listed = written(item_words(items), "items")
+    with arrow_rows(spark, 1):
+        blocks, group = _blocks(index, listed, width)
+        found = written(matches(index, blocks, width, group=group), "matches")
+    drop_written(index, listed)
     size = lambda c: F.size(c).cast("bigint")
     return found.select(
         "doc_id",
@@ -303,7 +312,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share:
 
 
 def _blocks(index: DataFrame, listed: DataFrame, width: int):
-    """A function that gives the items in blocks, their windows anchored at the terms that are rarest in the index."""
+    """A function that gives the items in blocks, their windows anchored at the terms that are rarest in the index, and the postings that are to share its reading (0: there is one block, in memory)."""
     spark = index.sparkSession
     total, rows = listed.agg(F.sum(F.size("words")), F.count(F.lit(1))).first()
     as_words = lambda x: np.array(x, dtype=np.int64).view(np.uint64)
@@ -312,7 +321,7 @@ def _blocks(index: DataFrame, listed: DataFrame, width: int):
         counts = {r.term: r.n for r in term_counts(index, vocabulary).collect()}
         held = listed.collect()
         one = Windows([r.item for r in held], [as_words(r.words) for r in held], width, counts)
-        return lambda: [one]
+        return lambda: [one], 0
     path = scratch_path(spark, "blocks")
     listed.repartition(max(1, -(-total // BLOCK_WORDS)), "item").write.option("maxRecordsPerFile", max(1, BLOCK_WORDS * rows // total)).parquet(path)
     files = spark.read.parquet(path).inputFiles()
@@ -327,4 +336,4 @@ def _blocks(index: DataFrame, listed: DataFrame, width: int):
             terms, n = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_counts=True)
             yield Windows(t.column("item").to_pylist(), words, width, dict(zip(terms.view(np.int64).tolist(), n.tolist(), strict=True)))  # anchored at what is rarest in the block
 
-    return blocks
+    return blocks, GROUP
