@@ -18,7 +18,7 @@ Each attempt of a task writes a file of its own; the manifest names those of the
 attempts that Spark counts, and the others are removed, so a lost or repeated task
 leaves no half shard and nothing is renamed.
 
-Texts are encoded whole, so a worker holds the encoding of the longest text.  Defined
+Texts are encoded whole, so a worker holds the pieces and ids of the longest text.  Defined
 results: a null text is encoded as empty, so has the end id alone; rows of one
 identifier (or none) are kept, in the order of their texts' hashes; an empty table
 gives no shards.  Other columns are ignored.
@@ -26,8 +26,11 @@ gives no shards.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -168,8 +171,101 @@ class ShardReader:
         return found
 
 
+def _agreeing(split, head: str, chars: str) -> str:
+    """Those characters that the library keeps in one piece with head."""
+    if len(split(head + chars)) == 1:
+        return chars
+    if len(chars) == 1:
+        return ""
+    mid = len(chars) // 2
+    return _agreeing(split, head, chars[:mid]) + _agreeing(split, head, chars[mid:])
+
+
+def _ranges(chars: str) -> str:
+    """The inside of a character class."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\u{lo:04x}-\\u{hi:04x}" for lo, hi in out)
+
+
+class Pieces(dict):
+    """Ids of pieces, each encoded by the library's model when it is first met; the last ``HELD`` to twice as many are kept."""
+
+    HELD, LONGEST = 300_000, 100
+
+    def __init__(self, library, width: int):
+        split = library.pre_tokenizer.pre_tokenize_str
+        self.tokenize, self.old, self.code = library.model.tokenize, {}, "H" if width == 2 else "I"
+        # how the library writes each byte, read off characters that hold every byte of valid UTF-8
+        bytes_as = ["\ufffd"] * 256
+        for c in [*range(0x800), 0x800, *range(0x1000, 0xD000, 0x1000), 0xD000, 0xE000, 0xF000, 0x10000, 0x40000, 0x80000, 0xC0000, 0x100000]:
+            for byte, char in zip(chr(c).encode(), "".join(x for x, _ in split(chr(c))), strict=True):
+                bytes_as[byte] = char
+        self.bytes_as = "".join(bytes_as)
+        # classes of assigned characters of the basic plane, less those of which the library thinks otherwise
+        kinds: dict[str, list[str]] = {"L": [], "N": [], "Z": [], "": []}
+        for c in map(chr, range(0x10000)):
+            kind = unicodedata.category(c)
+            if kind not in ("Cn", "Co", "Cs"):
+                kinds["Z" if c in "\t\n\v\f\r\x85" else kind[0] if kind[0] in "LNZ" else ""].append(c)
+        letters, numbers, spaces, others = (_agreeing(split, head, "".join(kinds[k])) for head, k in (("a", "L"), ("1", "N"), ("\t", "Z"), ("!", "")))
+        self.unknown = re.compile(f"[^{_ranges(letters + numbers + spaces + others)}]")
+        self.cuts = self._cuts(*map(_ranges, (letters, numbers, spaces)))
+        self.plain_cuts = self._cuts("A-Za-z", "0-9", r" \t\n\v\f\r")
+        # the rule itself, on a text in which each alternative wins and loses
+        text = "it's we'll 'tis '' 's  they've\n\n b\t c1x 23 !?'re -'d\r\n I'm a1!  'S _x_ ' t   "
+        cut = [text[i:j] for _, (i, j) in split(text)]
+        self.exact = not self.unknown.search("".join(map(chr, range(128)))) and self.cuts(text) == self.plain_cuts(text) == cut
+
+    @staticmethod
+    def _cuts(letter: str, number: str, space: str):
+        """Contractions go before other signs, the only alternative that they compete with, so the order is otherwise free."""
+        return re.compile(f" ?[{letter}]+| ?[{number}]+|'(?:[stmd]|re|ve|ll)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+    @staticmethod
+    def serve(library) -> bool:
+        """Whether a text's ids are those of its pieces in turn, and cut by the one rule known here."""
+        made = json.loads(library.to_str())
+        cut, after, model = made["pre_tokenizer"] or {}, made["post_processor"] or {"type": "ByteLevel"}, made["model"]
+        return (
+            not (made["normalizer"] or made["truncation"] or made["padding"] or model.get("dropout"))
+            and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+            and (model["type"], after["type"]) == ("BPE", "ByteLevel")
+        )
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            found = [x.id for x in self.tokenize(piece.encode().decode("latin-1").translate(self.bytes_as))]
+            ids = struct.pack(f"<{len(found)}{self.code}", *found)
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.HELD:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes | None:
+        """None where a character is not known."""
+        if text.isascii():
+            return b"".join(map(self.__getitem__, self.plain_cuts(text)))
+        return None if self.unknown.search(text) else b"".join(map(self.__getitem__, self.cuts(text)))
+
+
 class Encoder:
-    """Whole texts encoded by the library, special tokens found as it finds them and none added."""
+    """The library's ids of whole texts, special tokens found as it finds them and none added.
+
+    A byte-level BPE encodes each piece that its pre-tokenizer cuts for itself, so a text's
+    ids are its pieces' ids in turn, and each piece needs the library once.  The pieces are
+    cut here, by classes of characters that are compared with the library's own cuts when a
+    worker starts.  The library gets whole texts where that isn't known to hold: any other
+    kind of tokenizer, texts with the content of an added token, and texts with a character
+    beyond the basic plane, unassigned or classed otherwise by the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,10 +273,17 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if max(self.library.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        pieces = Pieces(self.library, self.width) if Pieces.serve(self.library) else None
+        self.pieces = pieces if pieces is not None and pieces.exact else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=f"<u{self.width}").tobytes() for x in found]
+        out = [None if self.pieces is None or any(x in t for x in self.added) else self.pieces.encode(t) for t in texts]
+        whole = [i for i, ids in enumerate(out) if ids is None]
+        if whole:
+            for i, x in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+                out[i] = np.array(x.ids, dtype=f"<u{self.width}").tobytes()
+        return out
 
 
 @cache
